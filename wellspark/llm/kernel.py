@@ -27,6 +27,17 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?\"'()[]|*#$%&<>")] = True
+
+
+def trim(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without up to four marks on either side; a word of marks only becomes empty."""
+    a, b = start.copy(), stop.copy()
+    for _ in range(4):
+        a += _MARK[buf[np.minimum(a, len(buf) - 1)]] & (a < b)
+        b -= _MARK[buf[np.maximum(b - 1, 0)]] & (a < b)
+    return a, b
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +89,8 @@ class Texts:
         self.start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if self.n else size
         self.stop = self.start + size
 
-    def words(self, *, lower: bool = False) -> "Words":
-        return Words(self, lower)
+    def words(self, *, lower: bool = False, trimmed: bool = False) -> "Words":
+        return Words(self, lower, trimmed)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each text."""
@@ -90,13 +101,13 @@ class Texts:
 class Words:
     """The words of a batch in order: byte spans, hashes, owning text, and each text's range."""
 
-    def __init__(self, texts: Texts, lower: bool = False) -> None:
+    def __init__(self, texts: Texts, lower: bool = False, trimmed: bool = False) -> None:
         sep = _SEPARATOR[texts.buf]
         self.separator = sep
         edge = np.flatnonzero(np.diff(np.concatenate([[True], sep]).view(np.int8)))
         self.start, self.stop = edge[0::2], edge[1::2]
         buf = LOWER[texts.buf] if lower else texts.buf
-        self.hash = SpanHash(buf)(self.start, self.stop)
+        self.hash = SpanHash(buf)(*(trim(buf, self.start, self.stop) if trimmed else (self.start, self.stop)))
         self.first = np.searchsorted(self.start, texts.start)
         self.last = np.searchsorted(self.start, texts.stop)
         self.count = self.last - self.first

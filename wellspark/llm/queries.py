@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wellspark.llm import bpe, lengths, quality, toxicity
+from wellspark.llm import bpe, langid, lengths, quality, toxicity
 from wellspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +26,17 @@ def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, PIECES))
+
+
 def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_length_histogram, op5_noisy_or_toxicity, op9_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_length_histogram, op5_noisy_or_toxicity, op7_marginal_unigrams, op9_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

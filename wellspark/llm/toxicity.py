@@ -29,11 +29,13 @@ from wellspark.llm.common import held_out
 BUCKETS = 1 << 18
 #: Bound of the training sample: rows per label value.
 SAMPLE = 3000
+#: A bucket is learned if its excess in toxic documents of the sample has this likelihood ratio (G).
+MIN_G = 25.0
+#: A word also counts by its first letters of these lengths in bytes, so that inflected forms share evidence.
+PREFIXES = (4, 5, 6)
 EPOCHS = 12
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
-_TRIM = np.zeros(256, bool)
-_TRIM[list(b".,;:!?\"'()[]|*#$%&<>")] = True
 
 
 @dataclasses.dataclass
@@ -64,10 +66,7 @@ def bags(t: kernel.Texts) -> Bags:
         e = np.empty(0, np.int64)
         return Bags(e, e, e, e, e, t.n)
     low = kernel.LOWER[t.buf]
-    a, b = w.start.copy(), w.stop.copy()
-    for _ in range(4):
-        a += _TRIM[t.buf[np.minimum(a, len(t.buf) - 1)]] & (a < b)
-        b -= _TRIM[t.buf[np.maximum(b - 1, 0)]] & (a < b)
+    a, b = kernel.trim(t.buf, w.start, w.stop)
     newline = np.concatenate([[0], np.cumsum(t.buf == 10)])
     ended = _ENDS[t.buf[w.stop - 1]]
     ended[:-1] |= newline[w.start[1:]] > newline[w.stop[:-1]]
@@ -76,8 +75,14 @@ def bags(t: kernel.Texts) -> Bags:
     sentence = np.concatenate([[0], np.cumsum(ended)[:-1]])
     last = np.flatnonzero(ended)
     first = np.concatenate([[0], last[:-1] + 1])
-    bucket = (kernel.SpanHash(low)(a, b) % np.uint64(BUCKETS)).astype(np.int64)
-    pair = np.unique(sentence * BUCKETS + bucket)
+    hashed = kernel.SpanHash(low)
+    size = np.maximum(b - a, 0)
+    found = [sentence * BUCKETS + (hashed(a, a + size) % np.uint64(BUCKETS)).astype(np.int64)]
+    for n in PREFIXES:
+        at = np.flatnonzero(size > n)
+        h = kernel.mix(hashed(a[at], a[at] + n) + np.uint64(n))
+        found.append(sentence[at] * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+    pair = np.unique(np.concatenate(found))
     return Bags(pair % BUCKETS, pair // BUCKETS, w.text[first], w.start[first], w.stop[last], t.n)
 
 
@@ -90,8 +95,27 @@ def noisy_or(b: Bags, p: np.ndarray) -> np.ndarray:
     return -np.expm1(np.bincount(b.text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b.n_texts))
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Adagrad on the noisy-or likelihood, in minibatches of 64 documents, in a fixed order."""
+def telling(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets occur in clearly more toxic documents, and half their smoothed log ratio."""
+    seen = np.zeros((2, BUCKETS))
+    for text, bucket, label in parts:
+        pair = np.unique(text * BUCKETS + bucket)
+        for v in (0, 1):
+            seen[v] += np.bincount(pair[label[pair // BUCKETS] == v] % BUCKETS, minlength=BUCKETS)
+    n = np.array([[(y == 0).sum()], [(y == 1).sum()]], float)
+    both, all_ = seen.sum(0), n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cells = [(seen[v], n[v] * both / all_) for v in (0, 1)] + [(n[v] - seen[v], n[v] * (all_ - both) / all_) for v in (0, 1)]
+        g = 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
+    rate = (seen + 0.5) / (n + 1)
+    return (g >= MIN_G) & (rate[1] > rate[0]), np.log(rate[1] / rate[0]) / 2
+
+
+def fit(texts: list[bytes | None], labels: np.ndarray, clean_weight: float = 1.0, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4) -> Model:
+    """Adagrad on the noisy-or likelihood, in minibatches of 64 documents, in a fixed order.
+
+    ``clean_weight`` makes up for clean documents that the bounded sample left out.
+    """
     m = Model(np.zeros(BUCKETS), -4.0)
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
@@ -101,13 +125,18 @@ def fit(texts: list[bytes | None], labels: np.ndarray, epochs: int = EPOCHS, rat
     order = rng.permutation(len(texts))
     parts = [order[k : k + 64] for k in range(0, len(order), 64)]
     made = [(bags(kernel.Texts([texts[i] for i in part])), y[part]) for part in parts]
+    chosen, start = telling([(b.text[b.sentence], b.bucket, label) for b, label in made], y)
+    m.weights[chosen] = start[chosen]
+    for b, _ in made:
+        known = chosen[b.bucket]
+        b.bucket, b.sentence = b.bucket[known], b.sentence[known]
     for _ in range(epochs):
         for k in rng.permutation(len(made)):
             b, label = made[k]
             p = sentence_scores(b, m)
             score = np.clip(noisy_or(b, p), 1e-6, 1 - 1e-6)
             # d(loss)/dz of a sentence: p for a clean document, -p (1 - score) / score for a toxic one
-            outer = np.where(label > 0, -(1 - score) / score, 1.0)
+            outer = np.where(label > 0, -(1 - score) / score, clean_weight)
             g = p * outer[b.text]
             grad = np.bincount(b.bucket, weights=g[b.sentence], minlength=BUCKETS)
             used = np.unique(b.bucket)
@@ -120,10 +149,14 @@ def fit(texts: list[bytes | None], labels: np.ndarray, epochs: int = EPOCHS, rat
     return m
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most ``per_label`` labelled rows of each label value outside the held-out fifth."""
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+def marked_ids(labels: DataFrame) -> DataFrame:
+    """id, toxic (one row per id) of the labels outside the held-out fifth."""
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def training_rows(docs: DataFrame, marked: DataFrame, per_label: int = SAMPLE) -> DataFrame:
+    """text, toxic of at most ``per_label`` labelled rows of each label value."""
     order = [F.xxhash64("id"), "id"]
     chosen = marked.filter("toxic = 1").orderBy(*order).limit(per_label).unionAll(marked.filter("toxic = 0").orderBy(*order).limit(per_label))
     # at most 2 * per_label ids of 12 bytes are broadcast
@@ -132,8 +165,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
-    rows = training_rows(docs, labels, per_label).select("text", "toxic").toArrow()
-    return fit(kernel.as_bytes(rows.column("text").combine_chunks()) if rows.num_rows else [], np.asarray(rows.column("toxic")))
+    marked = marked_ids(labels)
+    n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    taken = {k: min(n.get(k, 0), per_label) for k in (0, 1)}
+    weight = n.get(0, 0) * taken[1] / (taken[0] * n[1]) if taken[0] and taken[1] else 1.0
+    rows = training_rows(docs, marked, per_label).select("text", "toxic").toArrow()
+    return fit(kernel.as_bytes(rows.column("text").combine_chunks()) if rows.num_rows else [], np.asarray(rows.column("toxic")), weight)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
