@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wellspark.llm import bpe, langid, lengths, quality, toxicity
+from wellspark.llm import bpe, jaccard, langid, lengths, quality, suffix_index, toxicity
 from wellspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,13 +35,17 @@ def op7_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, PIECES))
 
 
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_length_histogram, op5_noisy_or_toxicity, op7_marginal_unigrams, op9_forced_boundary_bpe)}
+    return {k: f for k, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": quality.SQL}
+    return {"op1_line_frequency": quality.SQL, "op3_signature_trees": jaccard.SQL}
