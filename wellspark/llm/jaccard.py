@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspark.llm import blocks, graph, kernel
@@ -279,10 +279,10 @@ def _traverse(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Checkpointed rows: kind 0 for each document (doc_id, size, key), kind 1 for each set that may link (key, size, payload, prefix)."""
-    packed, n_ranges = blocks.packed_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
+    """Checkpointed rows: kind 0 for each document (doc_id, text_hash, size, key), kind 1 for each set that may link (key, size, payload, prefix)."""
+    packed, n_ranges = blocks.packed_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")))
     sent = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
-    out = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("payload", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    out = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("payload", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -299,7 +299,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             table, s = _sets(row["payload"], words)
             n = len(s.size)
             keys = [hashlib.blake2b(s.token[a:b].tobytes(), digest_size=16).digest() for a, b in zip(s.first, s.first[1:])]
-            yield kernel.record(out, [0] * n, table.column("doc_id").combine_chunks(), s.size, keys, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())))
+            yield kernel.record(out, [0] * n, table.column("doc_id").combine_chunks(), table.column("text_hash").combine_chunks(), s.size, keys, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())))
             often = _frequency(s, row["answers"], n_ranges)
             alone = np.bincount(s.doc[often == 1], minlength=n)
             prefix = s.size - need(s.size, percent) + 1
@@ -314,10 +314,10 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 found.append((keys[d], int(s.size[d]), _six(s.token[part]), s.token[part][order].astype(np.int64)))
             for k in range(0, len(found), 256):
                 f = found[k : k + 256]
-                yield kernel.record(out, [1] * len(f), pa.nulls(len(f), pa.int64()), [x[1] for x in f], [x[0] for x in f], [x[2] for x in f], [x[3] for x in f])
+                yield kernel.record(out, [1] * len(f), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int64()), [x[1] for x in f], [x[0] for x in f], [x[2] for x in f], [x[3] for x in f])
 
     answers = blocks.exchange_ranges(packed.mapInArrow(send, "part long, block long, payload binary"), count_range)
-    return checkpointed(packed.join(answers, "block", "left").mapInArrow(sets, "kind int, doc_id long, size long, key binary, payload binary, prefix array<long>"))
+    return checkpointed(packed.join(answers, "block", "left").mapInArrow(sets, "kind int, doc_id long, text_hash long, size long, key binary, payload binary, prefix array<long>"))
 
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
@@ -375,6 +375,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return linked.unionAll(empty)
 
 
+def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows (all columns) without all but one document of each component.
+
+    The one with the smallest doc_id stays (a null id only if there is no other; ties by a hash of
+    the text, then one of the equal rows).  Texts without words all stay.
+    """
+    rows = shingle_sets(docs, words, percent)
+    label = links(rows, percent)
+    one = rows.filter("kind = 0")
+    full = one.filter("size > 0").select("doc_id", "text_hash", "key")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = checkpointed(full.groupBy("key").agg(F.min(rank).alias("best")))
+    grouped = classes.join(label.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("label", "key").alias("group")).agg(F.min("best").alias("best"))
+    kept = grouped.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")).unionAll(one.filter("size = 0").select("doc_id", "text_hash").distinct())
+    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")))
+    id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    out = docs.join(kept, id_.eqNullSafe(F.col("kept_id")) & (hash_ == F.col("kept_hash")), "left_semi")
+    copies = full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    if not copies.limit(1).count():
+        return out
+    # rows with equal id and text: one of them stays, unless it has no words
+    name = blocks.fresh(docs, "copy")
+    again = out.withColumn(name, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)))
+    return again.filter((F.col(name) == 1) | (F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "") == "")).drop(name)
+
+
 #: The same rows by SQL: distinct sets, all pairs that share a shingle, and a recursive closure.
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
