@@ -52,7 +52,7 @@ def filter_expression(df: DataFrame, text: str | None) -> tuple[DataFrame, str |
         out.schema  # noqa: B018  resolves names now
         return out, None
     except (ParseException, Exception) as e:  # noqa: BLE001  any failure is reported to the caller
-        return df, str(e).splitlines()[0]
+        return df, next((x for x in str(e).splitlines() if x.strip()), type(e).__name__)
 
 
 def lookup_rows(df: DataFrame, wells: list[str] = (), fields: list[str] = (), stacks: list[str] = (), timepoints: list[str] = ()) -> DataFrame:
