@@ -345,7 +345,10 @@ def filter_expr(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey")
 
 
-@query("SELECT page_id, split_part(url, '/', 3) AS directory FROM pages WHERE split_part(url, '/', 3) = 'therha.example.com' OR starts_with(split_part(url, '/', 3), 'therha.example.com/')")
+@query(
+    """WITH p AS (SELECT page_id, split_part(url, '/', 3) AS directory FROM pages), m AS (SELECT * FROM p WHERE directory = 'therha.example.com' OR starts_with(directory, 'therha.example.com/'))
+SELECT * FROM m UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM m)"""
+)
 def scope_by_directory(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages").select("page_id", F.split("url", "/")[2].alias("directory"))
     return filters.scope_by_directory(p, ["therha.example.com"])

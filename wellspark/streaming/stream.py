@@ -18,14 +18,19 @@ def read_stream(spark: SparkSession, path: str, schema: object, files_per_trigge
     return r.parquet(path)
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark (on a zoned timestamp, as watermarks need one); a batch frame as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def window_counts(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling counts with a watermark; the same expression on a batch frame gives the final result."""
-    counted = events.withWatermark(time, late) if events.isStreaming else events
+    counted = _watermarked(events, time, late)
     return counted.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def sessions(events: DataFrame, time: str, keys: list[str], gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    counted = events.withWatermark(time, late) if events.isStreaming else events
+    counted = _watermarked(events, time, late)
     return counted.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
