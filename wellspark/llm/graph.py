@@ -11,8 +11,8 @@ from wellspark.llm.common import checkpointed
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b); the label is one node of the component.
 
-    Each round maps a node to its smallest neighbour (or itself) and contracts; with hashed
-    node names a round removes a constant share of the nodes.  Counts of hot nodes are combined
+    Each round maps a node to the neighbour with the smallest hash (or itself) and contracts, which
+    removes a constant share of the nodes on average, for any shape of graph.  Counts of hot nodes are combined
     before the shuffle, and the joins have plain exchanges on both sides, which adaptive
     execution splits.  Nothing but a count comes to the driver.  Self-loops and repeated edges
     are allowed; no edges give no rows.
@@ -23,8 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if len(maps) == most_rounds:
             raise RuntimeError("the contraction doesn't end")
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        up = ends.groupBy("node").agg(F.min("other").alias("low"))
-        up = checkpointed(up.select("node", F.least("node", "low").alias("up")))
+        low = ends.groupBy("node").agg(F.min(F.struct(F.xxhash64("other"), "other")).alias("low"))
+        up = checkpointed(low.select("node", F.least("low", F.struct(F.xxhash64("node"), F.col("node").alias("other")))["other"].alias("up")))
         maps.append(up)
         left = edges.join(up.withColumnRenamed("up", "ua"), F.col("a") == F.col("node")).select("ua", "b")
         both = left.join(up.withColumnRenamed("up", "ub"), F.col("b") == F.col("node")).select(F.col("ua").alias("a"), F.col("ub").alias("b"))
