@@ -1,8 +1,8 @@
 """Blocks of documents: the batches of the index operators.
 
-Rows are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of id and text, and a block
-is kept as one compressed Arrow table in a checkpoint.  Later passes join small per-block
-results to it, so the texts themselves are shuffled once.  What blocks send to each other is
+Each task packs its rows into blocks of about ``BLOCK_BYTES`` of text, and a block is kept as one
+compressed Arrow table in a checkpoint, which also fixes its number.  Later passes join small
+per-block results to it, so texts are never shuffled as rows.  What blocks send to each other is
 packed: one row per block and hash range, already unique inside the block, so a passage held
 by a third of all rows counts once per block and no group is hot.
 """
@@ -10,10 +10,11 @@ by a third of all rows counts once per block and no group is hot.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,29 @@ def packed_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     An empty table makes no block.
     """
     n_ranges = pieces(docs, RANGE_BYTES, 16)
-    n = n_ranges * (RANGE_BYTES // BLOCK_BYTES)
-    name = fresh(docs, "block")
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text") if c in docs.columns])
-    schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table([[key[0].as_py()], [pack(table.drop_columns([name]))]], schema=schema)
-
-    blocked = docs.withColumn(name, F.pmod(key, F.lit(n))).groupBy(name).applyInArrow(run, "block long, payload binary")
+    schema = pa.schema([("payload", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size_of = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)).astype(np.int64) + 16
+            at = 0
+            while at < batch.num_rows:  # as many rows as fill the block
+                n = int(np.searchsorted(np.cumsum(size_of[at:]), BLOCK_BYTES - size)) + 1
+                part = batch.slice(at, n)
+                held.append(part)
+                size += int(size_of[at : at + n].sum())
+                at += part.num_rows
+                if size >= BLOCK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([pack(pa.Table.from_batches(held))], pa.binary())], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(pa.Table.from_batches(held))], pa.binary())], schema=schema)
+
+    blocked = docs.mapInArrow(run, "payload binary").select(F.monotonically_increasing_id().alias("block"), "payload")
     return checkpointed(blocked), n_ranges
 
 

@@ -10,9 +10,10 @@ merge-scan needs, and which ships 17 bytes for about 85 suffixes instead of the
 The arrays are dealt by hash range.  In a range, each new batch's array enters a family of
 levels (``LevelFamily``): equal-sized levels merge geometrically, and the merge-scan marks
 entries whose context occurs elsewhere (all their windows are repeated) and entries whose
-anchor occurs with other contexts (their windows must be looked at one by one).  For the
-latter, a second family holds all single windows by 128-bit hash.  So every window is judged
-exactly, up to 128-bit hash collisions.
+anchor occurs with other contexts.  The windows of the latter are looked at more closely: a
+second family holds them in bins of ``BIN`` neighbours, by the bytes that all windows of a bin
+share, and only for bins that are not settled there a third family holds single windows by
+128-bit hash.  So every window is judged exactly, up to 128-bit hash collisions.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes; rows with
 equal texts are copies of each other, whatever their ids; matches never cross documents;
@@ -34,6 +35,7 @@ from wellspark.llm.common import checkpointed
 
 LENGTH = 200
 MINIMISER = 32
+BIN = 16
 REPEATED, MIXED, FIRST = 1, 2, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,6 +54,7 @@ class Runs:
             e = np.empty(0, np.int64)
             self.lo = self.hi = e
             self.anchor = self.context = np.empty(0, np.uint64)
+            self.place = e
             return
         h = self.span.fixed(k)
         low = np.uint64((1 << int(len(h)).bit_length()) - 1)
@@ -65,14 +68,35 @@ class Runs:
         new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
         self.lo = at[new]
         self.hi = at[np.append(new[1:] - 1, len(at) - 1)]
+        self.place = place[new]
         self.anchor = kernel.mix(h[place[new]])
         self.context = self.span(self.lo, self.hi + length)
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The chosen runs' window starts, and the place of each one's run in ``which``."""
-        n = self.hi[which] - self.lo[which] + 1
-        of = np.repeat(np.arange(len(which)), n)
-        return np.repeat(self.lo[which], n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+    def bins(self, which: np.ndarray) -> "Bins":
+        return Bins(self, which)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from ``lo`` to ``hi``, range after range, and the range of each."""
+    n = hi - lo + 1
+    of = np.repeat(np.arange(len(lo)), n)
+    return np.repeat(lo, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
+class Bins:
+    """The windows of chosen runs in bins by their distance from the anchor, as runs of their own.
+
+    The key of a bin is what all windows at its distances share, wherever the run begins or ends.
+    """
+
+    def __init__(self, runs: Runs, which: np.ndarray) -> None:
+        self.t, self.length, self.span = runs.t, runs.length, runs.span
+        place, lo, hi = runs.place[which], runs.lo[which], runs.hi[which]
+        number, of = _spread((place - hi) // BIN, (place - lo) // BIN)
+        near = place[of] - number * BIN  # the bin's last window start, if the run reaches that far
+        self.lo, self.hi = np.maximum(lo[of], near - BIN + 1), np.minimum(hi[of], near)
+        self.anchor = kernel.mix(self.span(near, near - BIN + 1 + runs.length) + number.astype(np.uint64))
+        self.context = self.span(self.lo, self.hi + runs.length)
 
 
 class LevelFamily:
@@ -82,8 +106,10 @@ class LevelFamily:
         self.levels: list[tuple[np.ndarray, ...]] = []
 
     def add(self, key: np.ndarray, second: np.ndarray, batch: int, mark: np.ndarray) -> None:
-        order = np.lexsort((second, key))
-        self.levels.append((key[order], second[order], np.full(len(key), batch, np.int64), mark[order].astype(np.uint8)))
+        """A new batch as a level of its own; its (key, second key) pairs are distinct."""
+        if not len(key):
+            return
+        self.levels.append(self.scan([key, second, np.full(len(key), batch, np.int64), mark.astype(np.uint8)]))
         while len(self.levels) > 1 and len(self.levels[-1][0]) >= len(self.levels[-2][0]):
             self._merge()
 
@@ -153,20 +179,27 @@ def _pair(key: np.ndarray, second: np.ndarray) -> np.ndarray:
     return kernel.mix(key + second * _MIX)
 
 
-def _marks(runs: Runs, answers: list[bytes] | None) -> np.ndarray:
-    key, second, mark = blocks.stack_columns(answers, "u8", "u8", "u1")
-    out = np.zeros(len(runs.lo), np.uint8)
-    if len(key):
-        known = _pair(key, second)
+def _marks(key: np.ndarray, second: np.ndarray, answers: list[bytes] | None) -> np.ndarray:
+    told, told_second, mark = blocks.stack_columns(answers, "u8", "u8", "u1")
+    out = np.zeros(len(key), np.uint8)
+    if len(told):
+        known = _pair(told, told_second)
         order = np.argsort(known)
-        asked = _pair(runs.anchor, runs.context)
-        slot = np.minimum(np.searchsorted(known[order], asked), len(key) - 1)
+        asked = _pair(key, second)
+        slot = np.minimum(np.searchsorted(known[order], asked), len(told) - 1)
         hit = known[order][slot] == asked
         out[hit] = mark[order][slot[hit]]
     return out
 
 
-def _window_hashes(runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shown(key: np.ndarray, second: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Entries to be looked at more closely: mixed ones, of repeated contexts one in all blocks."""
+    which = np.flatnonzero(((mark & MIXED) > 0) & (((mark & REPEATED) == 0) | ((mark & FIRST) > 0)))
+    _, once = np.unique(_pair(key[which], second[which]), return_index=True)
+    return which[once]
+
+
+def _window_hashes(runs: Runs | Bins, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs.span(at, at + runs.length), kernel.SpanHash(runs.t.buf, 1)(at, at + runs.length)
 
 
@@ -180,17 +213,23 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def removed_bytes(runs: Runs, answers: list[bytes] | None, window_answers: list[bytes] | None) -> np.ndarray:
+def removed_bytes(runs: Runs, run_answers: list[bytes] | None, bin_answers: list[bytes] | None, window_answers: list[bytes] | None) -> np.ndarray:
     """True for each byte of the batch's buffer that a repeated window covers."""
-    mark = _marks(runs, answers)
     change = np.zeros(len(runs.t.buf) + runs.length + 1, np.int64)
-    whole = (mark & REPEATED) > 0
-    np.add.at(change, runs.lo[whole], 1)
-    np.add.at(change, runs.hi[whole] + runs.length, -1)
-    open_ = np.flatnonzero(~whole & ((mark & MIXED) > 0))
+
+    def settle(level: Runs | Bins, mark: np.ndarray) -> np.ndarray:
+        """Covers repeated entries; gives the entries that stay open."""
+        whole = (mark & REPEATED) > 0
+        np.add.at(change, level.lo[whole], 1)
+        np.add.at(change, level.hi[whole] + runs.length, -1)
+        return np.flatnonzero(~whole & ((mark & MIXED) > 0))
+
+    open_ = settle(runs, _marks(runs.anchor, runs.context, run_answers))
+    bins = runs.bins(open_)
+    open_ = settle(bins, _marks(bins.anchor, bins.context, bin_answers))
     first, second, _ = blocks.stack_columns(window_answers, "u8", "u8", "u1")
     if len(open_) and len(first):
-        at, _ = runs.windows(open_)
+        at, _ = _spread(bins.lo[open_], bins.hi[open_])
         at = at[np.isin(_pair(*_window_hashes(runs, at)), _pair(first, second))]
         np.add.at(change, at, 1)
         np.add.at(change, at + runs.length, -1)
@@ -198,43 +237,49 @@ def removed_bytes(runs: Runs, answers: list[bytes] | None, window_answers: list[
 
 
 def _apply(docs: DataFrame, length: int, schema: str | object, emit: Callable[[pa.Table, kernel.Texts, np.ndarray], list[pa.RecordBatch]]) -> DataFrame:
-    """The whole operator: blocks, the family over runs, the family over open windows, and ``emit`` per block."""
+    """The whole operator: blocks, the families over runs, bins and windows, and ``emit`` per block."""
     packed, n_ranges = blocks.packed_blocks(docs)
     sent = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
 
+    def record(block: int, key: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+        out = _send(block, key, second, n_ranges)
+        return kernel.record(sent, *([x[i] for x in out] for i in range(3)))
+
     def send_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             runs = Runs(_texts(blocks.unpack(row["payload"])), length)
-            out = _send(row["block"], runs.anchor, runs.context, n_ranges)
-            yield kernel.record(sent, *([x[i] for x in out] for i in range(3)))
+            yield record(row["block"], runs.anchor, runs.context)
+
+    def shown_bins(row: dict) -> Bins:
+        runs = Runs(_texts(blocks.unpack(row["payload"])), length)
+        return runs.bins(_shown(runs.anchor, runs.context, _marks(runs.anchor, runs.context, row["run_answers"])))
+
+    def send_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            if row["run_answers"]:
+                bins = shown_bins(row)
+                yield record(row["block"], bins.anchor, bins.context)
 
     def send_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            if not row["answers"]:
-                continue
-            runs = Runs(_texts(blocks.unpack(row["payload"])), length)
-            mark = _marks(runs, row["answers"])
-            shown = ((mark & MIXED) > 0) & (((mark & REPEATED) == 0) | ((mark & FIRST) > 0))
-            # one copy of a context that is repeated inside the block is enough
-            which = np.flatnonzero(shown)
-            pair = _pair(runs.anchor[which], runs.context[which])
-            _, once = np.unique(pair, return_index=True)
-            at, _ = runs.windows(which[once])
-            out = _send(row["block"], *_window_hashes(runs, at), n_ranges)
-            yield kernel.record(sent, *([x[i] for x in out] for i in range(3)))
+            if row["bin_answers"]:
+                bins = shown_bins(row)
+                which = _shown(bins.anchor, bins.context, _marks(bins.anchor, bins.context, row["bin_answers"]))
+                at, _ = _spread(bins.lo[which], bins.hi[which])
+                yield record(row["block"], *_window_hashes(bins, at))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             table = blocks.unpack(row["payload"])
             t = _texts(table)
-            gone = removed_bytes(Runs(t, length), row["answers"], row["window_answers"])
+            gone = removed_bytes(Runs(t, length), row["run_answers"], row["bin_answers"], row["window_answers"])
             yield from emit(table, t, gone)
 
-    kind = "part long, block long, payload binary"
-    answers = checkpointed(blocks.exchange_ranges(packed.mapInArrow(send_runs, kind), _merge_range))
-    told = packed.join(answers, "block", "left")
-    windows = blocks.exchange_ranges(told.mapInArrow(send_windows, kind), _merge_range).withColumnRenamed("answers", "window_answers")
-    return told.join(windows, "block", "left").mapInArrow(finish, schema)
+    told = packed
+    for send, name in ((send_runs, "run_answers"), (send_bins, "bin_answers"), (send_windows, "window_answers")):
+        answers = blocks.exchange_ranges(told.mapInArrow(send, "part long, block long, payload binary"), _merge_range)
+        told = told.join(checkpointed(answers).withColumnRenamed("answers", name), "block", "left")
+    return told.mapInArrow(finish, schema)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
