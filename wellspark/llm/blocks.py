@@ -2,7 +2,7 @@
 
 Each task packs its rows into blocks of about ``BLOCK_BYTES`` of text, and a block is kept as one
 compressed Arrow table in a checkpoint, which also fixes its number.  Later passes join small
-per-block results to it, so texts are never shuffled as rows.  What blocks send to each other is
+per-block results to it without moving it again.  What blocks send to each other is
 packed: one row per block and hash range, already unique inside the block, so a passage held
 by a third of all rows counts once per block and no group is hot.
 """
@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.llm.common import checkpointed, pieces
+from wellspark.llm.common import checkpointed_by, pieces
 
 BLOCK_BYTES = 2 << 20
 #: A hash range stands for about this much text.
@@ -72,7 +72,7 @@ def packed_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.array([pack(pa.Table.from_batches(held))], pa.binary())], schema=schema)
 
     blocked = docs.mapInArrow(run, "payload binary").select(F.monotonically_increasing_id().alias("block"), "payload")
-    return checkpointed(blocked), n_ranges
+    return checkpointed_by(blocked, "block"), n_ranges
 
 
 def by_range(h: np.ndarray, n_ranges: int) -> np.ndarray:

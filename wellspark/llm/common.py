@@ -19,6 +19,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
+    """A checkpoint that stays dealt by ``key``, so that joins on it move the other side only.
+
+    A checkpoint keeps its plan's partitioning if that plan isn't adaptive, so adaptive execution
+    is off while this one plan is made.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpointed(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set(name, was)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the context, set if it wasn't."""
     context = spark.sparkContext
