@@ -389,15 +389,16 @@ def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = checkpointed(full.groupBy("key").agg(F.min(rank).alias("best")))
     grouped = classes.join(label.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("label", "key").alias("group")).agg(F.min("best").alias("best"))
     kept = grouped.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")).unionAll(one.filter("size = 0").select("doc_id", "text_hash").distinct())
-    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")))
+    kept_id, kept_hash = blocks.fresh(docs, "kept_id"), blocks.fresh(docs, "kept_hash")
+    kept = checkpointed(kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)))
     id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    out = docs.join(kept, id_.eqNullSafe(F.col("kept_id")) & (hash_ == F.col("kept_hash")), "left_semi")
+    out = docs.join(kept, id_.eqNullSafe(F.col(kept_id)) & (hash_ == F.col(kept_hash)), "left_semi")
     copies = full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if not copies.limit(1).count():
         return out
     # rows with equal id and text: one of them stays, unless it has no words
     name = blocks.fresh(docs, "copy")
-    again = out.withColumn(name, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)))
+    again = out.withColumn(name, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(f"`{c}`") for c in docs.columns))))
     return again.filter((F.col(name) == 1) | (F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "") == "")).drop(name)
 
 
