@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    was = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
     ``spark.checkpoint.dir`` decides; only where it is unset and no folder was set on the
     context (as in tests) a temporary folder is taken.
+
+    A checkpoint also hands on its plan's constraints and size estimate.  The estimate of a join
+    is a product, so over the rounds of an iteration its digits double and the driver drowns in
+    them; the rows are therefore wrapped anew, without either.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
@@ -25,13 +44,10 @@ def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
     A checkpoint keeps its plan's partitioning if that plan isn't adaptive, so adaptive execution
     is off while this one plan is made.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    was = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return checkpointed(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
-    finally:
-        conf.set(name, was)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        shared_folder(df.sparkSession)
+        return df.repartition(n, key).checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
