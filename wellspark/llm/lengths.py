@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspark.llm.bpe import token_counts
+from wellspark.llm.common import checkpointed
 
 #: Lengths of one bucket; suffix sums run over buckets first, then inside each bucket.
 BUCKET = 256
@@ -31,6 +32,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     bucket of 256 lengths only.
     """
     bucket = F.floor(F.col("length") / BUCKET)
+    hist = checkpointed(hist)  # read twice below; one row per occurring length
     per = hist.withColumn("bucket", bucket).withColumn("tokens", F.col("length") * F.col("n_docs"))
     after = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
