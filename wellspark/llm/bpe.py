@@ -59,6 +59,7 @@ class ForcedBoundaryBPE:
         self._ids: dict[str, str] = {}
         self._bytes: dict[str, bytes] = {}
         self._fragments: dict[bytes, list[int]] = {}
+        self._lists: dict[str, list[int]] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut between all byte pairs that no token holds."""
@@ -104,7 +105,14 @@ class ForcedBoundaryBPE:
                 out.append(self.special[part])
             else:
                 for w in self._pretoken.findall(part):
-                    out += self._piece(w.encode())
+                    ids = self._lists.get(w)
+                    if ids is None:
+                        if len(self._lists) >= MEMORY_ENTRIES:
+                            self._lists.clear()
+                        ids = self._piece(w.encode())
+                        if len(w) <= 64:
+                            self._lists[w] = ids
+                    out += ids
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
