@@ -314,6 +314,36 @@ def test_decontamination(spark):
     assert decontam.leaks(nothing(spark), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    """Copies with 20 to 40 % of their words replaced and first halves, one each and one in a large group, as by brute force."""
+    rng = random.Random(21)
+    items = [(k, words(rng, rng.randint(20, 40))) for k in range(40)]
+    rows = []
+    for k, text in items:
+        own = text.split()
+        if k % 4 == 3:
+            own = own[: (len(own) + 1) // 2]
+        else:
+            for at in rng.sample(range(len(own)), len(own) * (2 + k % 4) // 10):
+                own[at] = words(rng, 1) + "z"
+        rows += [(k, f"{words(rng, 30)} {' '.join(own)} {words(rng, 30)}")] * (50 if k < 4 else 1)
+    schema = "doc_id long, text string"
+    got = decontam.leaks(spark.createDataFrame(rows, schema), spark.createDataFrame(items, "item_id long, text string"))
+    w = kernel.Texts([t.encode() for _, t in dict(rows).items()]).words(lower=True, trimmed=True)
+    brute = set()
+    for k, text in items:
+        it = kernel.Texts([text.encode()]).words(lower=True, trimmed=True)
+        item, grams = it.hash.tolist(), set(zip(it.hash.tolist(), it.hash[1:].tolist(), it.hash[2:].tolist()))
+        for d in range(len(items)):
+            own = w.hash[w.first[d] : w.last[d]].tolist()
+            if grams & set(zip(own, own[1:], own[2:])) and decontam.smith_waterman(own, item)[1] >= 0.5 * len(item):
+                brute.add((d, k))
+    assert len(brute) >= 36
+    found = [(r["doc_id"], r["item_id"]) for r in got.collect()]
+    assert set(found) == brute
+    assert all(found.count(x) == (50 if x[0] < 4 else 1) for x in brute)
+
+
 def test_benchmark_in_blocks(spark):
     rng = random.Random(12)
     items = spark.createDataFrame([(k, words(rng, 20)) for k in range(30)], "item_id long, text string")

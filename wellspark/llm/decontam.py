@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every test item's word ``SEED``-grams are seeds.  A first pass counts the documents that hold
-each; an item keeps the rarer half of its seeds, so common phrases start no comparison and
-every item keeps some, however often it leaked.  A second pass joins passages to items by
-these seeds (in each task, against a table bounded by ``BLOCK_BYTES`` of test text; larger
-benchmarks are read in blocks, one pair of passes each) and scores each passage by local
-alignment over words.  A passage with ``identity`` (aligned equal words over the item's words)
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every test item's word ``SEED``-grams are seeds, all of them: which ones survive in an edited
+copy can't be told from how many documents hold them.  One pass joins passages to items by
+the seeds (in each task, against a table bounded by ``BLOCK_BYTES`` of test text; larger
+benchmarks are read in blocks, one pass each) and scores each passage by local alignment over
+words; a common phrase costs a count of common words before any alignment.  A passage with ``identity`` (aligned equal words over the item's words)
 of ``MIN_IDENTITY`` or more, counted on the best local alignment, is a leak.
 
 Words are compared in ASCII lower case without marks around them.  Defined cases: null or
@@ -29,7 +28,7 @@ from wellspark.llm import kernel
 SEED = 3
 MIN_IDENTITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bound of the test text that one pair of passes broadcasts.
+#: Bound of the test text that one pass broadcasts.
 BLOCK_BYTES = 4 << 20
 
 
@@ -81,39 +80,6 @@ def _find(t: kernel.Texts, items: Items) -> tuple[kernel.Words, np.ndarray, np.n
     return w, place[order], seed[order]
 
 
-def seed_documents(docs: DataFrame, items: Items) -> np.ndarray:
-    """The number of documents that hold each seed; at most one row per seed comes to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros(len(own.seeds), np.int64)
-        for _, t in kernel.sub_batches(batches):
-            w, place, seed = _find(t, own)
-            pair = np.unique(w.text[place] * (len(total) + 1) + seed)
-            total += np.bincount(pair % (len(total) + 1), minlength=len(total))[: len(total)]
-        some = np.flatnonzero(total)
-        yield kernel.record(schema, some, total[some])
-
-    out = np.zeros(len(items.seeds), np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        out[r["seed"]] = r["n"]
-    return out
-
-
-def rare_half(items: Items, n_docs: np.ndarray) -> Items:
-    """Each item's rarer half of its seeds (ties by hash)."""
-    own: list[list[int]] = [[] for _ in items.words]
-    for s, places in enumerate(items.places):
-        for k in {k for k, _ in places}:
-            own[k].append(s)
-    kept = [set(sorted(x, key=lambda s: (n_docs[s], s))[: (len(x) + 1) // 2]) for x in own]
-    places = [[(k, p) for k, p in x if s in kept[k]] for s, x in enumerate(items.places)]
-    some = [s for s, x in enumerate(places) if x]
-    return Items(items.ids, items.words, items.seeds[some], [places[s] for s in some])
-
-
 def smith_waterman(text: list[int], item: list[int]) -> tuple[int, int, int, int]:
     """(score, equal words, first, one past the last text word) of the best local alignment; the first among equals."""
     best = (0, 0, 0, 0)
@@ -202,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_identity: float = MIN_IDENT
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], kind)
     for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(rare_half(block, seed_documents(slim, block)))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             for piece, t in kernel.sub_batches(batches):
@@ -217,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_identity: float = MIN_IDENT
 def reject_leaks(docs: DataFrame, benchmark: DataFrame, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """The rows (all columns, in place) that leak no item; no shuffle."""
     for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(rare_half(block, seed_documents(docs, block)))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             for piece, t in kernel.sub_batches(batches):
