@@ -317,6 +317,21 @@ def test_clusters_medoids_and_votes(spark):
     assert rows(cluster.propagate(graph, 5).groupBy("cluster").count())
 
 
+def test_large_graphs_get_the_same_communities(spark, monkeypatch):
+    """Joins only, joins and then one task, and one task agree; the resolution holds on every way."""
+    rng = np.random.default_rng(7)
+    group = rng.integers(0, 6, 60)
+    pairs = {(a * 1_000_003, b * 1_000_003) for a, b in rng.integers(0, 60, (900, 2)).tolist() if group[a] == group[b] or rng.random() < 0.1} | {(-5, -5)}
+    graph = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    found = {}
+    for r, most in ((0.3, 60), (1.5, 0)):
+        found[r] = rows(cluster.cluster_edges(graph, r, 3), "node", "cluster")
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "MAX_EDGES", most)
+            assert rows(cluster.cluster_edges(graph, r, 3), "node", "cluster") == found[r]
+    assert len({c for _, c in found[0.3]}) < len({c for _, c in found[1.5]})
+
+
 def test_whitened_space_and_cover(spark):
     df, v = blobs(spark)
     space = embed.fit_space(df, "embedding", 5)
