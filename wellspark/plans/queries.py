@@ -98,6 +98,14 @@ def fuse_outer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fuse.fuse_pair(a, fuse.Source(b, "inference", "infer")))
 
 
+@query()
+def fuse_outer_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same on whole tables, where the null folders of a label give the product of both sides' rows."""
+    a = objects(spark, d).drop("intensity")
+    b = predictions(spark, d).withColumnRenamed("uid", "site")
+    return rounded(fuse.fuse_pair(a, fuse.Source(b, "inference", "infer")))
+
+
 @query(
     f"""WITH {_OBJECTS} SELECT directory, label, site, area, NULL::BIGINT AS uid, NULL::DOUBLE AS pred_prob, 'cell' AS mask FROM o
 UNION ALL SELECT directory, label, NULL, NULL, uid, round(pred_prob, 6), 'nuclei' FROM p"""
@@ -569,6 +577,16 @@ def crop_cells(spark: SparkSession, d: str) -> DataFrame:
     return pixels.crops(t.drop("label"), t, ["vec_id"], F.lit(8), F.lit(8), 1)
 
 
+@query(
+    f"""WITH {_TILES}, b AS (SELECT vec_id, label, greatest(0, min(x) - 1) AS x0, greatest(0, min(y) - 1) AS y0, least(7, max(x) + 1) AS x1, least(7, max(y) + 1) AS y1 FROM t WHERE label > 0 GROUP BY vec_id, label)
+SELECT t.vec_id, b.label, y - y0 AS y, x - x0 AS x, CASE WHEN t.label = b.label THEN value ELSE 0.0 END AS value FROM t JOIN b ON t.vec_id = b.vec_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
+)
+def crop_cells_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the whole table."""
+    t = tiles(spark, d)
+    return pixels.crops(t.drop("label"), t, ["vec_id"], F.lit(8), F.lit(8), 1)
+
+
 @query(
     f"""WITH {_TILES}, m AS (SELECT vec_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, (max(y) - min(y) + 1) * (max(x) - min(x) + 1) AS box, var_pop(x) + 1.0 / 12 AS xx, var_pop(y) + 1.0 / 12 AS yy, covar_pop(x, y) AS xy FROM t WHERE label > 0 GROUP BY vec_id, label),
 e AS (SELECT *, (xx + yy + sqrt(4 * xy * xy + (xx - yy) * (xx - yy))) / 2 AS big, greatest(0, (xx + yy - sqrt(4 * xy * xy + (xx - yy) * (xx - yy))) / 2) AS small FROM m)
@@ -646,6 +664,12 @@ def threshold_objects(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kernels.per_site(tiles(spark, d).filter("vec_id < 60"), ["vec_id"], "threshold_objects", ["object_area", "object_count", "object_mean_area"], threshold=0.1))
 
 
+@query()
+def threshold_objects_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the whole table."""
+    return rounded(kernels.per_site(tiles(spark, d), ["vec_id"], "threshold_objects", ["object_area", "object_count", "object_mean_area"], threshold=0.1))
+
+
 # --- embeddings
 
 
