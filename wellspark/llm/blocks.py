@@ -18,11 +18,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.llm.common import checkpointed_by, pieces
+from wellspark.llm.common import checkpointed_by, text_bytes
 
 BLOCK_BYTES = 2 << 20
 #: A hash range stands for about this much text.
 RANGE_BYTES = 16 << 20
+#: A partition of the checkpoint holds blocks of about this much text.
+PARTITION_BYTES = 32 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -48,7 +50,8 @@ def packed_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
 
     An empty table makes no block.
     """
-    n_ranges = pieces(docs, RANGE_BYTES, 16)
+    total = text_bytes(docs)
+    n_ranges = max(16, -(-total // RANGE_BYTES))
     schema = pa.schema([("payload", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,7 @@ def packed_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.array([pack(pa.Table.from_batches(held))], pa.binary())], schema=schema)
 
     blocked = docs.mapInArrow(run, "payload binary").select(F.monotonically_increasing_id().alias("block"), "payload")
-    return checkpointed_by(blocked, "block"), n_ranges
+    return checkpointed_by(blocked, "block", -(-total // PARTITION_BYTES)), n_ranges
 
 
 def by_range(h: np.ndarray, n_ranges: int) -> np.ndarray:

@@ -26,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
     ``spark.checkpoint.dir`` decides; only where it is unset and no folder was set on the
-    context (as in tests) a temporary folder is taken.
+    context, a local session (as in tests) takes a temporary folder; a cluster raises an error.
 
     A checkpoint also hands on its plan's constraints and size estimate.  The estimate of a join
     is a product, so over the rounds of an iteration its digits double and the driver drowns in
@@ -38,13 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
-def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
+def checkpointed_by(df: DataFrame, key: str, least: int = 1) -> DataFrame:
     """A checkpoint that stays dealt by ``key``, so that joins on it move the other side only.
 
+    It has the session's number of shuffle partitions, or ``least`` if that is more.
+
     A checkpoint keeps its plan's partitioning if that plan isn't adaptive, so adaptive execution
     is off while this one plan is made.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
         shared_folder(df.sparkSession)
         return df.repartition(n, key).checkpoint(eager=True)
@@ -54,7 +56,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the context, set if it wasn't."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -74,7 +81,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def pieces(df: DataFrame, per_piece: int, least: int = 1) -> int:
-    """How many pieces of about ``per_piece`` bytes the texts of ``df`` make (one cheap scan)."""
-    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(least, -(-total // per_piece))
+def text_bytes(df: DataFrame) -> int:
+    """The bytes of all texts (one cheap scan)."""
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -6,29 +6,35 @@ A document's set holds its distinct ``n``-word shingles; two documents link when
 1. Blocks count how many times each shingle (a 48-bit hash) occurs anywhere.  A set's shingles
    are ordered rarest first; linked sets share one of the first ``size - need + 1``, and
    shingles that occur once are shared with nobody, so most documents end here.
-2. The remaining sets, one per distinct set, are grouped by the smallest set with which they
-   share such a shingle, in chunks of bounded size, each with that leading set.
+2. Sets are dealt to size bands so wide that linked sets are in one band or in neighbouring
+   ones.  The remaining sets, one per distinct set, are grouped by the smallest set of their band
+   with which they share such a shingle, in chunks of bounded bytes, each with that leading set.
 3. In a chunk a signature tree is built: leaves hold sets, every node the OR of its sets' token
    bitmaps, its size range and its largest number of bitmap collisions.  A dual traversal drops
    node pairs whose maximum possible overlap or size ranges exclude a link, or whose sets are
    connected already, and verifies what is left exactly.  Only a spanning part of the links is
    sent on, so a group of n copies sends n - 1 links.
-4. Chunk pairs that share a rare shingle between different components are traversed likewise.
+4. Chunk pairs of one band or neighbouring ones that share a rare shingle between different
+   components are traversed likewise.
 
 Defined cases: null and empty texts have empty sets, which link with nothing and are their own
 component; a document with fewer than ``n`` words has one shingle, its whole sequence; equal
-sets are one class; a component's id is its smallest doc_id (null ids are passed over).
+sets are one class, so repeated rows and ties share a component; a component's id is its smallest
+doc_id (null ids are passed over); an empty table gives no rows; extra columns are ignored by
+``near_duplicates`` and kept by ``keep_one``, whatever their names and types.  A very long text
+is held whole in one task, and its set (6 bytes a shingle) is compared in one.
 Exact up to collisions of 48-bit hashes inside one set or pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.llm import blocks, graph, kernel
@@ -36,8 +42,8 @@ from wellspark.llm.common import checkpointed
 
 WORDS = 4
 PERCENT = 85
-#: Sets of a chunk; a chunk of average documents holds about 1 MB.
-CHUNK = 256
+#: Bytes of the sets of a chunk (a larger set is a chunk of its own, with the leading set).
+CHUNK_BYTES = 1 << 20
 LEAF = 8
 FANOUT = 8
 _TOKEN = (1 << 48) - 1
@@ -278,11 +284,22 @@ def _traverse(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*group).applyInArrow(run, "a binary, b binary")
 
 
-def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Checkpointed rows: kind 0 for each document (doc_id, text_hash, size, key), kind 1 for each set that may link (key, size, payload, prefix)."""
-    packed, n_ranges = blocks.packed_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")))
+_ROWS = "kind int, doc_id long, text_hash long, block long, row int, size long, key binary, payload binary, prefix array<long>"
+
+
+def shingle_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The packed blocks of ``docs`` (all columns), and checkpointed rows about them.
+
+    Kind 0 is a document (doc_id, text_hash, its place as block and row, size, key), kind 1 a set
+    that may link (key, size, payload, prefix).
+    """
+    packed, n_ranges = blocks.packed_blocks(docs)
     sent = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
-    out = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("payload", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "text_hash": pa.int64(), "block": pa.int64(), "row": pa.int32(), "size": pa.int64(), "key": pa.binary(), "payload": pa.binary(), "prefix": pa.list_(pa.int64())}
+    out = pa.schema(list(kinds.items()))
+
+    def emitted(n: int, **columns: object) -> pa.RecordBatch:
+        return kernel.record(out, *(columns.get(name, pa.nulls(n, kind)) for name, kind in kinds.items()))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -299,7 +316,9 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             table, s = _sets(row["payload"], words)
             n = len(s.size)
             keys = [hashlib.blake2b(s.token[a:b].tobytes(), digest_size=16).digest() for a, b in zip(s.first, s.first[1:])]
-            yield kernel.record(out, [0] * n, table.column("doc_id").combine_chunks(), table.column("text_hash").combine_chunks(), s.size, keys, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())))
+            hashes = [int.from_bytes(hashlib.blake2b(t or b"", digest_size=8).digest(), "little", signed=True) for t in kernel.as_bytes(table.column("text"))]
+            ids = table.column("doc_id").combine_chunks().cast(pa.int64())
+            yield emitted(n, kind=[0] * n, doc_id=ids, text_hash=hashes, block=[row["block"]] * n, row=list(range(n)), size=s.size, key=keys)
             often = _frequency(s, row["answers"], n_ranges)
             alone = np.bincount(s.doc[often == 1], minlength=n)
             prefix = s.size - need(s.size, percent) + 1
@@ -314,25 +333,34 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 found.append((keys[d], int(s.size[d]), _six(s.token[part]), s.token[part][order].astype(np.int64)))
             for k in range(0, len(found), 256):
                 f = found[k : k + 256]
-                yield kernel.record(out, [1] * len(f), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int64()), [x[1] for x in f], [x[0] for x in f], [x[2] for x in f], [x[3] for x in f])
+                yield emitted(len(f), kind=[1] * len(f), size=[x[1] for x in f], key=[x[0] for x in f], payload=[x[2] for x in f], prefix=[x[3] for x in f])
 
     answers = blocks.exchange_ranges(packed.mapInArrow(send, "part long, block long, payload binary"), count_range)
-    return checkpointed(packed.join(answers, "block", "left").mapInArrow(sets, "kind int, doc_id long, text_hash long, size long, key binary, payload binary, prefix array<long>"))
+    return packed, checkpointed(packed.join(answers, "block", "left").mapInArrow(sets, _ROWS))
+
+
+def size_band(size: Column, percent: int) -> Column:
+    """Sizes of linked sets differ by a factor of 100 / percent at most, so by one band at most."""
+    return F.floor(F.log(size) / (1.0001 * math.log(100 / percent) if percent < 100 else 1.0)).cast("int")
 
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """(node, label) over the keys of linked sets."""
     may = rows.filter("kind = 1")
     content = may.groupBy("key").agg(F.first("payload").alias("payload"))
-    postings = may.select(F.explode("prefix").alias("token"), "key").distinct()
-    leaders = postings.groupBy("token").agg(F.min("key").alias("leader"), F.max("key").alias("last")).filter("leader != last").drop("last")
-    held = checkpointed(postings.join(checkpointed(leaders), "token"))  # token, key, leader: only shared tokens
-
-    lead = held.groupBy("key").agg(F.min("leader").alias("leader"))
-    counts = checkpointed(lead.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))
-    member = checkpointed(lead.join(counts, "leader").select("key", "leader", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk")))
+    postings = may.select(F.explode("prefix").alias("token"), "key", "size", size_band(F.col("size"), percent).alias("band")).distinct()
+    leaders = postings.groupBy("token", "band").agg(F.min("key").alias("leader"), F.max("key").alias("last"))
+    shared = leaders.groupBy("token").agg(F.min("leader").alias("low"), F.max("last").alias("high")).filter("low != high").select("token")
+    leaders = checkpointed(leaders.drop("last").join(shared, "token"))
+    held = checkpointed(postings.join(leaders, ["token", "band"]))  # token, band, key, size, leader: only shared tokens
+
+    lead = held.groupBy("key").agg(F.min("leader").alias("leader"), F.first("size").alias("size"), F.first("band").alias("band"))
+    counts = lead.groupBy("leader").agg(F.ceil(F.sum(F.col("size") * 6 + 64) / CHUNK_BYTES).alias("chunks"), F.count("*").alias("n"))
+    counts = checkpointed(counts)
+    member = checkpointed(lead.join(counts, "leader").select("key", "leader", "band", "n", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk")))
+    several = member.filter("n > 1 OR key != leader").select("key", "leader", "chunk")
     copies = counts.select(F.col("leader").alias("key"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    placed = member.unionAll(copies).distinct().join(content, "key")
+    placed = several.unionAll(copies.join(several.select("leader", "chunk").distinct(), ["leader", "chunk"]).select("key", "leader", "chunk")).distinct().join(content, "key")
     none = F.lit(None).cast("binary")
     first = _traverse(placed.select("leader", "chunk", "key", "payload", F.lit(0).alias("side"), none.alias("component")), ["leader", "chunk"], percent)
     first = checkpointed(first)
@@ -340,16 +368,17 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 
     # a token that stands between components: its chunks are compared with each other
     where = member.select("key", F.struct("leader", "chunk").alias("cell"))
-    now = held.select("token", "key").join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("component"))
+    now = held.select("token", "band", "key").join(label.withColumnRenamed("node", "key"), "key", "left").select("token", "band", "key", F.coalesce("label", "key").alias("component"))
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("n"))
     split = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
     split = checkpointed(split.select("token", "main"))
     open_ = checkpointed(now.join(split, "token").join(where, "key"))
-    cells = open_.groupBy("token", "cell").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("odd"), F.min("component").alias("low"), F.max("component").alias("high"))
+    cells = open_.groupBy("token", "band", "cell").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("odd"), F.min("component").alias("low"), F.max("component").alias("high"))
     cells = checkpointed(cells)
-    x, y = cells.filter("odd = 1").alias("x"), cells.alias("y")
+    x = cells.filter("odd = 1").withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+    y = cells.alias("y")
     differ = ~((F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.low") == F.col("x.high")))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") != F.col("y.cell")) & differ)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.near") == F.col("y.band")) & (F.col("x.cell") != F.col("y.cell")) & differ)
     pairs = checkpointed(pairs.select(F.least("x.cell", "y.cell").alias("one"), F.greatest("x.cell", "y.cell").alias("two")).distinct())
     sides = pairs.select("one", "two", F.col("one").alias("cell"), F.lit(0).alias("side")).unionAll(pairs.select("one", "two", F.col("two").alias("cell"), F.lit(1).alias("side")))
     asked = open_.select("key", "cell", "component").distinct()
@@ -362,7 +391,8 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and ``class_id`` (the smallest doc_id with an equal set)."""
-    rows = shingle_sets(docs, words, percent)
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    _, rows = shingle_sets(slim, words, percent)
     label = links(rows, percent)
     one = rows.filter("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "key")
     full = one.filter("n_shingles > 0")
@@ -379,27 +409,24 @@ def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows (all columns) without all but one document of each component.
 
     The one with the smallest doc_id stays (a null id only if there is no other; ties by a hash of
-    the text, then one of the equal rows).  Texts without words all stay.
+    the text, then one of the equal rows).  Texts without words all stay.  The texts don't move
+    again: the places of the rows that stay go back to the blocks.
     """
-    rows = shingle_sets(docs, words, percent)
+    packed, rows = shingle_sets(docs, words, percent)
     label = links(rows, percent)
     one = rows.filter("kind = 0")
-    full = one.filter("size > 0").select("doc_id", "text_hash", "key")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    classes = checkpointed(full.groupBy("key").agg(F.min(rank).alias("best")))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "block", "row")
+    classes = checkpointed(one.filter("size > 0").groupBy("key").agg(F.min(rank).alias("best")))
     grouped = classes.join(label.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("label", "key").alias("group")).agg(F.min("best").alias("best"))
-    kept = grouped.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash")).unionAll(one.filter("size = 0").select("doc_id", "text_hash").distinct())
-    kept_id, kept_hash = blocks.fresh(docs, "kept_id"), blocks.fresh(docs, "kept_hash")
-    kept = checkpointed(kept.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)))
-    id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    out = docs.join(kept, id_.eqNullSafe(F.col(kept_id)) & (hash_ == F.col(kept_hash)), "left_semi")
-    copies = full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
-    if not copies.limit(1).count():
-        return out
-    # rows with equal id and text: one of them stays, unless it has no words
-    name = blocks.fresh(docs, "copy")
-    again = out.withColumn(name, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(f"`{c}`") for c in docs.columns))))
-    return again.filter((F.col(name) == 1) | (F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "") == "")).drop(name)
+    kept = grouped.select("best.block", "best.row").unionAll(one.filter("size = 0").select("block", "row"))
+    told = checkpointed(kept.groupBy("block").agg(F.collect_list("row").alias("kept")))  # a block's rows are bounded
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            table = blocks.unpack(row["payload"])
+            yield from table.take(pa.array(sorted(row["kept"]), pa.int64())).combine_chunks().to_batches()
+
+    return packed.join(told, "block").mapInArrow(emit, docs.schema)
 
 
 #: The same rows by SQL: distinct sets, all pairs that share a shingle, and a recursive closure.

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 SUB_BATCH_BYTES = 1 << 20
+STEP_BITS = 16
+STEP = 1 << STEP_BITS
 
 _rng = np.random.default_rng(0x5EED)
 _TABLES = [_rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -50,32 +52,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(bits: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse up to ``STEP``; longer buffers multiply by powers of ``base ** STEP``."""
     out = []
     for base in (_BASES[which], _INVERSES[which]):
-        x = np.full(1 << bits, base, np.uint64)
+        x = np.full(STEP, base, np.uint64)
         x[0] = 1
         out.append(np.cumprod(x))
     return out[0], out[1]
 
 
 class SpanHash:
-    """Polynomial prefix sums over a byte buffer: the hash of any span in O(1)."""
+    """Polynomial prefix sums over a byte buffer: the hash of any span in O(1).
+
+    Memory is 8 bytes for each byte of the buffer; the tables of powers are of a fixed size.
+    """
 
     def __init__(self, buf: np.ndarray, which: int = 0) -> None:
         n = len(buf)
-        forward, self._inverse = _powers(max(12, int(n + 1).bit_length()), which)
+        forward, self._low = _powers(which)
+        n_steps = n // STEP + 1
+        self._high = np.cumprod(np.array([1] + [pow(_INVERSES[which], STEP, 2**64)] * (n_steps - 1), np.uint64))
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][buf] * forward[:n], out=self._sums[1:])
+        for k in range(n_steps):
+            a, b = k * STEP, min(n, (k + 1) * STEP)
+            part = _TABLES[which][buf[a:b]]
+            part *= forward[: b - a]
+            part *= np.uint64(pow(_BASES[which], a, 2**64))
+            np.cumsum(part, out=self._sums[a + 1 : b + 1])
+            self._sums[a + 1 : b + 1] += self._sums[a]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
-
-    def fixed(self, length: int) -> np.ndarray:
-        """Hashes of all spans of one length, by start."""
-        m = max(0, len(self._sums) - length)
-        return mix((self._sums[length : length + m] - self._sums[:m]) * self._inverse[:m])
+        h = self._sums[end] - self._sums[start]
+        h *= self._low[start & (STEP - 1)]
+        h *= self._high[start >> STEP_BITS]
+        return mix(h)
+
+    def fixed(self, length: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Hashes of all spans of one length that start from ``first`` up to ``last``, by start."""
+        last = max(first, min(len(self._sums) - length, len(self._sums) if last is None else last))
+        h = self._sums[first + length : last + length] - self._sums[first:last]
+        for a in range(first - first % STEP, last, STEP):
+            i, j = max(a, first), min(a + STEP, last)
+            h[i - first : j - first] *= self._low[i - a : j - a]
+            h[i - first : j - first] *= self._high[a >> STEP_BITS]
+        return mix(h)
 
 
 class Texts:
@@ -130,19 +152,23 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def sub_batches(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of Arrow batches with about ``SUB_BATCH_BYTES`` of text each, so that memory
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about ``SUB_BATCH_BYTES`` of text each, so that memory
     follows the longest text and not the batch size of the session."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(text)
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64)
         part = np.cumsum(size) // SUB_BATCH_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            piece = batch.slice(a, b - a)
-            yield piece, Texts(as_bytes(piece.column(text)))
+            yield batch.slice(a, b - a)
+
+
+def sub_batches(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The ``slices`` with their texts."""
+    for piece in slices(batches, text):
+        yield piece, Texts(as_bytes(piece.column(text)))
 
 
 def record(schema: pa.Schema, *columns: object) -> pa.RecordBatch:

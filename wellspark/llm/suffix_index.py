@@ -13,11 +13,14 @@ entries whose context occurs elsewhere (all their windows are repeated) and entr
 anchor occurs with other contexts.  The windows of the latter are looked at more closely: a
 second family holds them in bins of ``BIN`` neighbours, by the bytes that all windows of a bin
 share, and only for bins that are not settled there a third family holds single windows by
-128-bit hash.  So every window is judged exactly, up to 128-bit hash collisions.
+128-bit hash.  So every window is judged exactly, up to hash collisions (64 bits choose an anchor
+and find a block's own entries, 128 bits compare blocks).
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes; rows with
-equal texts are copies of each other, whatever their ids; matches never cross documents;
-overlapping repeats count.
+equal texts are copies of each other, whatever their ids, so repeated rows and ties lose the
+same bytes; matches never cross documents; overlapping repeats count; an empty table gives no
+rows; extra columns are ignored by ``digest`` and kept by ``cut_repeats``, whatever their names.
+A very long text is held whole in one task (some 60 bytes a byte while its windows are hashed).
 """
 
 from __future__ import annotations
@@ -36,41 +39,50 @@ from wellspark.llm.common import checkpointed
 LENGTH = 200
 MINIMISER = 32
 BIN = 16
+#: Window hashes are held for this much text at a time.
+GROUP_BYTES = 256 << 10
 REPEATED, MIXED, FIRST = 1, 2, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Runs:
-    """The sampled suffix array of a batch: runs ``lo..hi`` of window starts with one anchor."""
+    """The sampled suffix array of a batch: runs ``lo..hi`` of window starts with one anchor.
+
+    Texts are taken in groups of about ``GROUP_BYTES``, so that the windows' hashes are held for one
+    group (or one longer text) at a time; an anchor depends on its window's bytes alone.
+    """
 
     def __init__(self, t: kernel.Texts, length: int) -> None:
-        k = min(MINIMISER, length)
         self.t, self.length, self.span = t, length, kernel.SpanHash(t.buf)
-        size = t.stop - t.start
-        n_windows = np.maximum(size - length + 1, 0)
-        first = np.repeat(t.start, n_windows)
+        group = (t.stop - t.start[0] if t.n else t.stop) // GROUP_BYTES
+        cut = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), t.n]
+        parts = [self._part(t.start[i:j], t.stop[i:j]) for i, j in zip(cut, cut[1:])]
+        parts = [p for p in parts if len(p[0])] or [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)]
+        self.lo, self.hi, self.place, self.anchor = (np.concatenate(x) for x in zip(*parts))
+        self.context = self.span(self.lo, self.hi + length)
+
+    def _part(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """lo, hi, place and anchor of the runs of some neighbouring texts."""
+        k = min(MINIMISER, self.length)
+        n_windows = np.maximum(stop - start - self.length + 1, 0)
+        first = np.repeat(start, n_windows)
         at = first + np.arange(len(first)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         if not len(at):
-            e = np.empty(0, np.int64)
-            self.lo = self.hi = e
-            self.anchor = self.context = np.empty(0, np.uint64)
-            self.place = e
-            return
-        h = self.span.fixed(k)
-        low = np.uint64((1 << int(len(h)).bit_length()) - 1)
-        m = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
-        width, have = length - k + 1, 1
-        while have < width:
+            return at, at, at, np.empty(0, np.uint64)
+        base = int(start[0])
+        h = self.span.fixed(k, base, int(stop[-1]) - k + 1)
+        m, p = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64)
+        width, have = self.length - k + 1, 1
+        while have < width:  # of equal hashes the leftmost counts
             step = min(have, width - have)
-            m = np.minimum(m[:-step], m[step:])
+            right = m[step:] < m[:-step]
+            m, p = np.where(right, m[step:], m[:-step]), np.where(right, p[step:], p[:-step])
             have += step
-        place = (m[at] & low).astype(np.int64)
+        place = p[at - base].astype(np.int64)
         new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-        self.lo = at[new]
-        self.hi = at[np.append(new[1:] - 1, len(at) - 1)]
-        self.place = place[new]
-        self.anchor = kernel.mix(h[place[new]])
-        self.context = self.span(self.lo, self.hi + length)
+        ends = np.append(new[1:] - 1, len(at) - 1)
+        place = place[new]
+        return at[new], at[ends], place + base, kernel.mix(h[place])
 
     def bins(self, which: np.ndarray) -> "Bins":
         return Bins(self, which)
