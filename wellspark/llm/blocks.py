@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from wellspark.llm.common import checkpointed_by, text_bytes
 
-BLOCK_BYTES = 2 << 20
+#: Small enough that a packed block is no outsized object of the JVM's heap.
+BLOCK_BYTES = 1 << 20
 #: A hash range stands for about this much text.
 RANGE_BYTES = 16 << 20
 #: A partition of the checkpoint holds blocks of about this much text.

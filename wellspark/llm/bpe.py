@@ -2,12 +2,15 @@
 
 A byte pair that occurs inside no vocabulary token can never be covered by a merge, so
 the position between the two bytes is a certain cut.  Every pre-token is cut there, the
-fragments are encoded independently (and remembered, as they repeat), and the ids are
-concatenated.  Decoding concatenates the tokens' bytes.
+fragments are encoded independently, and the ids are concatenated (and remembered for the
+pre-token, as it repeats).  Decoding concatenates the tokens' bytes.
 
 Defined cases: a null text encodes as an empty one; the strings of added special tokens
-become their ids, as the public library does by default; the fragment memory is bounded
-and is emptied when full, which changes no result.
+become their ids, as the public library does by default; repeated rows get equal ids; an empty
+table gives no rows; extra columns pass through ``encode_documents`` and ``decode_documents``
+(a column of the name that they add is replaced) and are ignored by the others.  What is
+remembered is bounded in entries and in their length and is emptied when full, which changes no
+result, so beside that memory follows the longest text (some 60 bytes a byte).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from wellspark.llm import kernel
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 100_000
+#: Longer pre-tokens aren't remembered.
+MEMORY_LENGTH = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,10 +61,8 @@ class ForcedBoundaryBPE:
         for b in ranks:
             a = np.frombuffer(b, np.uint8)
             self.joined[a[:-1], a[1:]] = True
-        self._ids: dict[str, str] = {}
-        self._bytes: dict[str, bytes] = {}
-        self._fragments: dict[bytes, list[int]] = {}
-        self._lists: dict[str, list[int]] = {}
+        self._digests: dict[str, tuple[str, bytes]] = {}
+        self._ids: dict[str, bytes] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut between all byte pairs that no token holds."""
@@ -68,27 +71,29 @@ class ForcedBoundaryBPE:
         return [piece[i:j] for i, j in zip(cuts, cuts[1:]) if i < j]
 
     def _piece(self, piece: bytes) -> list[int]:
-        out: list[int] = []
-        for f in self.fragments(piece):
-            ids = self._fragments.get(f)
-            if ids is None:
-                if len(self._fragments) >= MEMORY_ENTRIES:
-                    self._fragments.clear()
-                ids = self._core.encode_single_piece(f)
-                if len(f) <= 64:
-                    self._fragments[f] = ids
-            out += ids
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._ids) >= MEMORY_ENTRIES:
-            self._ids.clear()
-            self._bytes.clear()
+        """The ids of a pre-token: its fragments are encoded on their own."""
+        return [i for f in self.fragments(piece) for i in self._core.encode_single_piece(f)]
+
+    def _known(self, memory: dict, words: list[str], make: Callable) -> list:
+        """``make`` of each pre-token, from a memory of bounded size where it is there."""
+        try:
+            return [memory[w] for w in words]
+        except KeyError:
+            pass
+        if len(memory) >= MEMORY_ENTRIES:
+            memory.clear()
+        here: dict = {}
         for w in words:
-            if w not in self._ids:
-                ids = self._piece(w.encode())
-                self._ids[w] = ",".join(map(str, ids))
-                self._bytes[w] = self.decode_bytes(ids)
+            if w not in memory and w not in here:
+                (memory if len(w) <= MEMORY_LENGTH and len(memory) < MEMORY_ENTRIES else here)[w] = make(w)
+        return [memory[w] if w in memory else here[w] for w in words]
+
+    def _digest(self, word: str) -> tuple[str, bytes]:
+        ids = self._piece(word.encode())
+        return ",".join(map(str, ids)), self.decode_bytes(ids)
+
+    def _packed(self, word: str) -> bytes:
+        return np.array(self._piece(word.encode()), "<i4").tobytes()
 
     def _spans(self, text: str) -> Iterator[tuple[str, bool]]:
         if self._special is None or not any(s in text for s in self.special):
@@ -98,22 +103,18 @@ class ForcedBoundaryBPE:
             if part:
                 yield part, bool(k % 2)
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids as 4-byte numbers one after the other."""
+        out: list[bytes] = []
         for part, special in self._spans(text or ""):
             if special:
-                out.append(self.special[part])
+                out.append(np.array([self.special[part]], "<i4").tobytes())
             else:
-                for w in self._pretoken.findall(part):
-                    ids = self._lists.get(w)
-                    if ids is None:
-                        if len(self._lists) >= MEMORY_ENTRIES:
-                            self._lists.clear()
-                        ids = self._piece(w.encode())
-                        if len(w) <= 64:
-                            self._lists[w] = ids
-                    out += ids
-        return out
+                out += self._known(self._ids, self._pretoken.findall(part), self._packed)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -129,13 +130,9 @@ class ForcedBoundaryBPE:
                 ids.append(str(self.special[part]))
                 out.append(self.token[self.special[part]])
                 continue
-            words = self._pretoken.findall(part)
-            try:
-                ids += [self._ids[w] for w in words]
-            except KeyError:
-                self._learn(words)
-                ids += [self._ids[w] for w in words]
-            out += [self._bytes[w] for w in words]
+            known = self._known(self._digests, self._pretoken.findall(part), self._digest)
+            ids += [i for i, _ in known]
+            out += [b for _, b in known]
         return ",".join(ids), b"".join(out)
 
 
@@ -147,18 +144,18 @@ def encoder(path: str) -> ForcedBoundaryBPE:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Every row with the ids of its whole text: the input's columns and ``ids array<int>``.
 
-    An input column ``ids`` is replaced.  No shuffle.
+    An input column ``ids`` is replaced, a null text has no ids.  No shuffle.
     """
     kept = docs.drop("ids")
     schema = kept.select("*", F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = pa.array([bpe.encode(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+        for part in kernel.slices(batches):
+            packed = [bpe.encode_packed(t) for t in part.column("text").to_pylist()]
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema)
 
@@ -186,16 +183,14 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                n, a, b = [], [], []
-                for t in part.column("text").to_pylist():
-                    ids, raw = bpe.digest(t)
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    a.append(hashlib.sha256(ids.encode()).hexdigest())
-                    b.append(hashlib.sha256(raw).hexdigest())
-                yield kernel.record(schema, part.column("doc_id"), n, a, b)
+        for part in kernel.slices(batches):
+            n, a, b = [], [], []
+            for t in part.column("text").to_pylist():
+                ids, raw = bpe.digest(t)
+                n.append(ids.count(",") + 1 if ids else 0)
+                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                b.append(hashlib.sha256(raw).hexdigest())
+            yield kernel.record(schema, part.column("doc_id"), n, a, b)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -206,9 +201,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids = [bpe.digest(t)[0] for t in batch.column("text").slice(k, 256).to_pylist()]
-                yield kernel.record(schema, [s.count(",") + 1 if s else 0 for s in ids])
+        for part in kernel.slices(batches):
+            yield kernel.record(schema, [len(bpe.encode_packed(t)) // 4 for t in part.column("text").to_pylist()])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long")

@@ -102,13 +102,18 @@ def count_range(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, byt
 
     An answer is the range's number, then the values with the bit length of their counts.
     """
-    total = np.zeros(1 << 24, np.uint32)
     lists = [unpack_ascending(p[8:]) for p in payloads]
-    for value, n in lists:
-        total[value] += n
+    counts = [np.empty(len(value), np.uint32) for value, _ in lists]
+    size = 1 << 21
+    for low in range(0, 1 << 24, size):  # an eighth of the range at a time
+        total = np.zeros(size, np.uint32)
+        cuts = [np.searchsorted(value, (low, low + size)) for value, _ in lists]
+        for (i, j), (value, n) in zip(cuts, lists):
+            total[value[i:j] - low] += n[i:j]
+        for (i, j), (value, _), own in zip(cuts, lists, counts):
+            own[i:j] = total[value[i:j] - low]
     out = []
-    for b, raw, (value, _) in zip(batch, payloads, lists):
-        n = total[value]
+    for b, raw, (value, _), n in zip(batch, payloads, lists, counts):
         some = n > 1
         if some.any():
             out.append((int(b), raw[:8] + pack_ascending(value[some], np.ceil(np.log2(n[some] + 1)))))
