@@ -1,22 +1,30 @@
 """License scans by patience alignment.
 
-A template's words are aligned with the text around a place where its longest words occur:
-words unique to both sides are anchors, the longest increasing subsequence of anchors is kept,
-and the gaps between them are aligned recursively (runs at a gap's two ends match directly).
-Coverage is the share of the template's words that are aligned; a template is found where
-coverage reaches ``MIN_COVERAGE``.
-
-The search for places loses nothing: coverage of 80 % needs at least one of any 20 % of the
-template's words plus one, and the places of that many of its longest words are tried.
+A template's words are aligned with the whole text: words unique to both sides are anchors, the
+longest increasing subsequence of anchors is kept, and the gaps between them are aligned
+recursively (runs at a gap's two ends match directly).  Coverage is the share of the template's
+words that are aligned; a template is found where coverage reaches ``MIN_COVERAGE``.  Words that
+the template doesn't have can't be aligned and are passed over, so an insertion of any length
+hides nothing; ``n_inserted`` tells how many words stand between the aligned ones, so that a
+reader can set a limit for short notices whose few words a long text may hold far apart.
+
+A text with several copies has no unique words.  The alignment is therefore repeated between the
+neighbours of each occurrence of the template's longest unique words, where that word is an
+anchor.  Texts that share fewer words with a template than the limit asks are passed over, which
+loses nothing.
 
 Words are compared in ASCII lower case without marks around them.  Defined cases: null, empty
-and wordless texts have no finding; a template found several times in a text is reported once,
-at its best (then first) place, with the number of places that reach the limit.
+and wordless texts have no finding; repeated rows each report; a template found several times in
+a text is reported once, at its best place (of equal coverage the one with the fewest inserted
+words, then the first), with the number of disjoint places that reach the limit; an empty table
+gives no rows; extra columns are ignored, whatever their names; a very long text is aligned whole
+(some 200 bytes for each of its words that the template has).
 """
 
 from __future__ import annotations
 
 import bisect
+import dataclasses
 import functools
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -55,6 +63,61 @@ TEMPLATES = {
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
         "SOFTWARE."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" '
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+        "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "Apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain '
+        "a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See '
+        "the License for the specific language governing permissions and limitations under the License."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details."
+    ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 
@@ -107,77 +170,81 @@ def patience(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+@dataclasses.dataclass
+class Template:
+    name: str
+    words: list[int]
+    #: Aligned words that the limit asks for.
+    least: int
+    #: The longest words that occur once: any sufficient share of the template's words holds one of these or a repeated word.
+    keys: list[int]
+
+
 @functools.lru_cache(maxsize=1)
-def _compiled(items: tuple[tuple[str, str], ...], min_coverage: float) -> tuple[list, np.ndarray]:
-    """Each template's word hashes, and its key words with their first places; all keys, sorted."""
+def compiled(items: tuple[tuple[str, str], ...], min_coverage: float) -> tuple[list[Template], np.ndarray, np.ndarray]:
+    """The templates, all their distinct words (sorted hashes), and how often each template has each word."""
     out = []
     for name, body in items:
-        t = kernel.Texts([body.encode()])
-        w = t.words(lower=True, trimmed=True)
+        w = kernel.Texts([body.encode()]).words(lower=True, trimmed=True)
         h = w.hash.tolist()
-        least = -(-int(round(min_coverage * 1000)) * len(h) // 1000)
+        least = max(1, -(-int(round(min_coverage * 1000)) * len(h) // 1000))
         size = dict(zip(h, (w.stop - w.start).tolist()))
-        # longest words first; enough of them that any aligned share of the template holds one
-        chosen: list[int] = []
-        covered = 0
-        for x in sorted(dict.fromkeys(h), key=lambda x: (-size[x], h.index(x))):
-            if covered > len(h) - least:
-                break
-            chosen.append(x)
-            covered += h.count(x)
-        out.append((name, h, {x: [i for i, y in enumerate(h) if y == x] for x in chosen}))
-    keys = np.unique(np.array([x for _, _, k in out for x in k], np.uint64))
-    return out, keys
-
-
-def scan_words(words: list[int], hits: list[int], template: list[int], keys: dict[int, list[int]], min_coverage: float) -> tuple[float, int, int, int] | None:
-    """Best (coverage, first word, one past the last, places found) of a template; ``hits`` are places of any key."""
-    size = len(template)
-    slack = max(2, size // 4)
-    starts = sorted({p - i for p in hits for i in keys.get(words[p], ())})
-    best, places, last = None, 0, -size - slack
-    tried_to = None
-    for s in starts:
-        if tried_to is not None and s - tried_to <= slack // 2:
-            continue  # the window before has this start within its slack
-        tried_to = s
-        a, b = max(0, s - slack), min(len(words), s + size + slack)
-        pairs = patience(words[a:b], template)
-        coverage = len(pairs) / size
-        if pairs and coverage >= min_coverage:
-            first, end = a + pairs[0][0], a + pairs[-1][0] + 1
-            if first >= last:
-                places += 1
-                last = end
-            if best is None or coverage > best[0]:
-                best = (coverage, first, end)
-    return None if best is None else (*best, places)
+        once = [x for x, n in Counter(h).items() if n == 1]
+        out.append(Template(name, h, least, sorted(once, key=lambda x: -size[x])[: len(h) - least + 1]))
+    kinds = np.unique(np.array([x for t in out for x in t.words], np.uint64))
+    has = np.zeros((len(out), len(kinds)), np.int64)
+    for k, t in enumerate(out):
+        np.add.at(has[k], np.searchsorted(kinds, np.array(t.words, np.uint64)), 1)
+    return out, kinds, has
+
+
+def scan_words(words: list[int], template: Template) -> tuple[float, int, int, int, int] | None:
+    """(coverage, first word, one past the last, disjoint places found, words inserted) of a template at its best place."""
+    own = set(template.words)
+    at = [i for i, x in enumerate(words) if x in own]
+    held = [words[i] for i in at]
+    regions = {(0, len(held))}
+    for x in template.keys:
+        occurs = [i for i, y in enumerate(held) if y == x]
+        if len(occurs) > 1:
+            regions |= set(zip([0, *(i + 1 for i in occurs[:-1])], [*occurs[1:], len(held)]))
+    found = [[(at[a + i], j) for i, j in patience(held[a:b], template.words)] for a, b in sorted(regions) if b - a >= template.least]
+    found.append(patience(words, template.words))
+    spans = sorted({(-len(p), p[-1][0] + 1 - p[0][0] - len(p), p[0][0], p[-1][0] + 1) for p in found if len(p) >= template.least})
+    if not spans:
+        return None
+    places: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(spans, key=lambda s: (s[1], s)):
+        k = bisect.bisect(places, (a, b))
+        if (k == 0 or places[k - 1][1] <= a) and (k == len(places) or b <= places[k][0]):
+            places.insert(k, (a, b))
+    n, inserted, a, b = spans[0]
+    return -n / len(template.words), a, b, len(places), inserted
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, start_word, end_word, n_places for each text and template found; one narrow pass."""
+    """doc_id, license, coverage, start_word, end_word, n_places, n_inserted for each text and template found; one narrow pass."""
     items = tuple((templates or TEMPLATES).items())
-    schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_places", pa.int64())])
+    kinds_of = {"doc_id": pa.int64(), "license": pa.string(), "coverage": pa.float64(), "start_word": pa.int64(), "end_word": pa.int64(), "n_places": pa.int64(), "n_inserted": pa.int64()}
+    schema = pa.schema(list(kinds_of.items()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, keys = _compiled(items, min_coverage)
+        known, kinds, has = compiled(items, min_coverage)
         for piece, t in kernel.sub_batches(batches):
             w = t.words(lower=True, trimmed=True)
-            at = np.flatnonzero(np.isin(w.hash, keys))
+            slot = np.minimum(np.searchsorted(kinds, w.hash), len(kinds) - 1)
+            hit = np.flatnonzero(kinds[slot] == w.hash)
+            pair, n = np.unique(w.text[hit] * len(kinds) + slot[hit], return_counts=True)
+            text, slot = pair // len(kinds), pair % len(kinds)
             ids = piece.column("doc_id").to_pylist()
             rows = []
-            owner = w.text[at]
-            for d in np.unique(owner).tolist():
-                first = int(w.first[d])
-                words = w.hash[first : int(w.last[d])].tolist()
-                hits = (at[owner == d] - first).tolist()
-                present = {words[p] for p in hits}
-                for name, body, own in compiled:
-                    if present & own.keys():
-                        found = scan_words(words, [p for p in hits if words[p] in own], body, own, min_coverage)
-                        if found:
-                            rows.append((ids[d], name, *found))
-            yield kernel.record(schema, *([r[k] for r in rows] for k in range(6)))
+            for k, template in enumerate(known):  # a text must share enough words
+                common = np.bincount(text, weights=np.minimum(n, has[k, slot]), minlength=t.n)
+                for d in np.flatnonzero(common >= template.least).tolist():
+                    found = scan_words(w.hash[int(w.first[d]) : int(w.last[d])].tolist(), template)
+                    if found:
+                        rows.append((ids[d], template.name, *found))
+            yield kernel.record(schema, *([r[k] for r in rows] for k in range(7)))
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, license string, coverage double, start_word long, end_word long, n_places long")
+    return slim.mapInArrow(run, "doc_id long, license string, coverage double, start_word long, end_word long, n_places long, n_inserted long")
