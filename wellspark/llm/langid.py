@@ -5,12 +5,16 @@ maximisation over all segmentations learns a probability for each piece; a text'
 the sum over its words of the log of the word's probability summed over all segmentations
 (the forward algorithm), and the language with the highest sum wins.
 
-The fit uses a bounded sample (``PER_LANG`` rows per language, words up to ``FIT_BYTES`` bytes);
-what is broadcast is a table of pieces x languages.  Scoring is one narrow pass over whole
-texts; words repeat, so their scores are remembered in a bounded table.
+The fit uses a bounded sample of rows (about ``PER_LANG`` of each language) with all their words,
+of any length, whether the script has spaces or not; what is broadcast is a table of pieces x
+languages.  Scoring is one narrow pass over whole texts; words repeat, so their scores are
+remembered in a table that is bounded and emptied when full, which changes no result.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a null
-``lang`` are not learned from; without any learned language every row is ``und``.
+``lang`` are not learned from; without any learned language every row is ``und``; of languages
+that tie the first in alphabetical order wins; repeated rows get equal results; an empty table
+gives no rows; extra columns are ignored, whatever their names.  A very long text is scored whole;
+a word costs some 100 bytes a byte and language.
 """
 
 from __future__ import annotations
@@ -29,12 +33,13 @@ from pyspark.sql import functions as F
 from wellspark.llm import kernel
 from wellspark.llm.common import held_out
 
+#: Bound of the training sample: about so many rows of each language.
 PER_LANG = 400
-FIT_BYTES = 24
-FIT_WORDS = 60_000
 ROUNDS = 4
 SMOOTH = 0.05
 MEMORY_WORDS = 1_000_000
+#: Words of about this many bytes times languages make one lattice.
+LATTICE_BYTES = 1 << 20
 #: Forward values are multiplied by this per byte, so that they stay near 1.
 LIFT = 20.0
 _LETTER = regex.compile(r"\p{L}")
@@ -60,27 +65,27 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 class Lattice:
-    """All piece matches inside a list of distinct words, as flat arrays ready for forward passes."""
+    """All piece matches inside a list of distinct words, as flat arrays ready for forward passes.
+
+    Where no match crosses a place, every segmentation cuts there.  The stretches between such places
+    (units) are therefore summed on their own, and their products give the words.
+    """
 
     def __init__(self, words: list[bytes], path: str) -> None:
         hashes, number, maybe, longest = vocabulary(path)
         words = [b" " + w for w in words]
+        self.n = len(words)
         size = np.array([len(w) for w in words], np.int64)
-        self.order = np.argsort(-size, kind="stable")
-        size = size[self.order]
-        buf = np.frombuffer(b"".join(words[i] for i in self.order), np.uint8)
-        self.size, self.n = size, len(words)
-        start = np.cumsum(size) - size
-        self.cell = start + np.arange(self.n)  # each word has size + 1 cells
-        word = np.repeat(np.arange(self.n), size)
-        left = (start + size)[word] - np.arange(len(buf))  # bytes until the word's end
+        buf = np.frombuffer(b"".join(words), np.uint8)
+        stop = np.cumsum(size)
+        left = np.repeat(stop, size) - np.arange(len(buf))  # bytes until the word's end
         head = (buf & 0xC0) != 0x80
         width = np.select([buf < 0x80, buf < 0xE0, buf < 0xF0], [1, 2, 3], 4)
         span = kernel.SpanHash(buf)
         at = np.flatnonzero(head)
         single = np.zeros(len(buf), bool)
         found = []
-        for k in range(1, min(longest, int(size[0]) if self.n else 0) + 1):
+        for k in range(1, min(longest, int(size.max()) if self.n else 0) + 1):
             at = at[left[at] >= k]
             h = span(at, at + k) + np.uint64(k)
             near = np.flatnonzero(maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -92,68 +97,84 @@ class Lattice:
             found.append((p, np.full(len(p), k), s))
         lone = np.flatnonzero(head & ~single)  # a letter that is no piece: an unknown of its own
         found.append((lone, np.minimum(width[lone], left[lone]), np.full(len(lone), len(hashes))))
-        p, k, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        w = word[p]
-        self.src = p + w
-        self.dst = self.src + k
-        self.piece = s
-        offset = p - start[w] + k  # end position in its word: the forward step that uses it
-        order = np.argsort(offset * (len(buf) + self.n + 1) + self.dst)
-        self.src, self.dst, self.piece = self.src[order], self.dst[order], self.piece[order]
-        steps = np.arange(int(size[0]) + 2 if self.n else 1)
-        self.step = np.searchsorted(offset[order], steps)
+        p, k, s = (np.concatenate(x) for x in zip(*found))
+        inside = np.cumsum(np.bincount(p + 1, minlength=len(buf) + 2) - np.bincount(p + k, minlength=len(buf) + 2))[: len(buf)]
+        begins = inside == 0
+        begin = np.flatnonzero(begins)
+        unit = np.cumsum(begins) - 1
+        self.size = np.diff(np.append(begin, len(buf)))
+        self.word = np.searchsorted(stop, begin, side="right")
+        self.cell = begin + np.arange(len(begin))  # each unit has size + 1 cells
+        self.longest_first = np.argsort(-self.size, kind="stable")
+        src = p + unit[p]
+        offset = p - begin[unit[p]] + k  # end position in its unit: the forward step that uses it
+        order = np.lexsort((src + k, offset))
+        self.src, self.width, self.piece, self.unit = src[order], k[order], s[order], unit[p][order]
+        self.dst = self.src + self.width
+        self.step = np.searchsorted(offset[order], np.arange((int(self.size.max()) if len(begin) else 0) + 2))
         self.group = np.flatnonzero(np.diff(self.dst, prepend=-1))  # edges into the same cell stand together
         self.group_step = np.searchsorted(self.group, self.step)
-        self.lift = np.array([LIFT**j for j in range(longest + 5)])[self.dst - self.src] if len(self.src) else np.empty(0)
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """Log probability of each word (in the order given) per language: ``prob`` is pieces + 1 x languages."""
-        langs = prob.shape[1]
-        a = np.zeros((int(self.size.sum()) + self.n, langs))
+    def units(self, prob: np.ndarray) -> np.ndarray:
+        """Log probability of each unit per language: ``prob`` is pieces + 1 x languages."""
+        a = np.zeros((int(self.size.sum()) + len(self.size), prob.shape[1]))
         a[self.cell] = 1
-        scale = np.zeros((self.n, 1))
-        edge = prob[self.piece] * self.lift[:, None]
+        scale = np.zeros((len(self.size), 1))
+        edge = prob[self.piece] * (LIFT**self.width)[:, None]
+        shorter = np.sort(-self.size)
         for j in range(1, len(self.step) - 1):
             e = slice(self.step[j], self.step[j + 1])
             if e.start < e.stop:
                 first = self.group[self.group_step[j] : self.group_step[j + 1]]
                 a[self.dst[first]] = np.add.reduceat(a[self.src[e]] * edge[e], first - e.start, axis=0)
-            if j % 8 == 0:  # long words: bring the cells that are still used back to about 1
-                live = np.flatnonzero(self.size > j)
+            if j % 8 == 0:  # long units: bring the cells that are still used back to about 1
+                live = self.longest_first[: np.searchsorted(shorter, -j)]
                 top = np.max([a[self.cell[live] + j - back].max(1) for back in range(4)], axis=0)[:, None]
                 top = np.where(top > 0, top, 1.0)
                 scale[live] += np.log(top)
                 for back in range(min(j, 64) + 1):
                     a[self.cell[live] + j - back] /= top
-        end = self.cell + self.size
-        logs = np.log(np.maximum(a[end], 1e-250)) + scale - (self.size * np.log(LIFT))[:, None]
-        out = np.empty_like(logs)
-        out[self.order] = logs
-        return out
+        return np.log(np.maximum(a[self.cell + self.size], 1e-250)) + scale - (self.size * np.log(LIFT))[:, None]
+
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Log probability of each word per language."""
+        logs = self.units(prob)
+        return np.stack([np.bincount(self.word, weights=logs[:, k], minlength=self.n) for k in range(prob.shape[1])], axis=1)
 
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts per language, for words (short ones) that occur ``counts`` times."""
-        langs = prob.shape[1]
-        cells = int(self.size.sum()) + self.n
-        a, b = np.zeros((cells, langs)), np.zeros((cells, langs))
+        """Expected piece counts per language, for words that occur ``counts`` times.
+
+        A unit's edges are lifted by its own probability per byte, so that its cells stay near 1.
+        """
+        logs = self.units(prob)
+        cells = int(self.size.sum()) + len(self.size)
+        a, b = np.zeros((cells, prob.shape[1])), np.zeros((cells, prob.shape[1]))
         a[self.cell] = 1
         end = self.cell + self.size
         b[end] = 1
-        edge = prob[self.piece] * self.lift[:, None]
+        edge = prob[self.piece] * np.exp(-(logs / self.size[:, None])[self.unit] * self.width[:, None])
         for j in range(1, len(self.step) - 1):
             e = slice(self.step[j], self.step[j + 1])
             np.add.at(a, self.dst[e], a[self.src[e]] * edge[e])
         for j in range(len(self.step) - 2, 0, -1):
             e = slice(self.step[j], self.step[j + 1])
             np.add.at(b, self.src[e], b[self.dst[e]] * edge[e])
-        weight = np.zeros((cells, langs))
-        share = counts[self.order] / np.maximum(a[end], 1e-250)
-        weight = np.repeat(share, self.size + 1, axis=0)
+        share = counts[self.word] / np.maximum(a[end], 1e-250)
         out = np.zeros(prob.shape)
-        np.add.at(out, self.piece, a[self.src] * edge * b[self.dst] * weight[self.src])
+        np.add.at(out, self.piece, a[self.src] * edge * b[self.dst] * share[self.unit])
         return out
 
 
+def lattices(words: list[bytes], path: str, langs: int) -> Iterator[tuple[slice, Lattice]]:
+    """Lattices of bounded size (or of one longer word) over the words, one at a time."""
+    a, size = 0, 0
+    for k, w in enumerate(words):
+        size += len(w) + 1
+        if size * langs >= LATTICE_BYTES or k == len(words) - 1:
+            yield slice(a, k + 1), Lattice(words[a : k + 1], path)
+            a, size = k + 1, 0
+
+
 @dataclasses.dataclass
 class Model:
     langs: list[str]
@@ -174,15 +195,13 @@ def fit(texts: list[str | None], langs: list[str], path: str) -> Model:
     for text, lang in zip(texts, langs):
         k = names.index(lang)
         for w in (text or "").lower().encode().split():
-            if len(w) <= FIT_BYTES:
-                counts.setdefault(w, [0] * len(names))[k] += 1
-    words = sorted(counts, key=lambda w: (-sum(counts[w]), w))[:FIT_WORDS]
+            counts.setdefault(w, [0] * len(names))[k] += 1
+    words = sorted(counts)
     if not words:
         return Model(names, prob, path)
     n = np.array([counts[w] for w in words], float)
-    lattice = Lattice(words, path)
     for _ in range(ROUNDS):
-        c = lattice.expected(prob, n) + SMOOTH
+        c = SMOOTH + sum(lattice.expected(prob, n[part]) for part, lattice in lattices(words, path, len(names)))
         prob = c / c.sum(0)
     return Model(names, prob, path)
 
@@ -193,7 +212,7 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     part = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003
     sample = rows.join(F.broadcast(n), "lang").filter(part < per_lang / F.col("n"))
-    return sample.orderBy("h", "lang", "text").limit(per_lang * 64).select("lang", "text")
+    return sample.orderBy("h", "lang", "text").select("lang", "text")
 
 
 def train(docs: DataFrame, path: str, per_lang: int = PER_LANG) -> Model:
@@ -238,13 +257,12 @@ def text_scores(t: kernel.Texts, model: Model, memory: Memory) -> np.ndarray:
     h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     scores, known = memory.get(h)
     new = np.flatnonzero(~known)
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        at = first[part]
-        raw = t.buf.tobytes()
-        made = Lattice([raw[a:b] for a, b in zip(w.start[at], w.stop[at])], model.path).forward(model.prob)
-        scores[part] = made
-        memory.add(h[part], made)
+    raw = t.buf.tobytes()
+    words = [raw[a:b] for a, b in zip(w.start[first[new]], w.stop[first[new]])]
+    for part, lattice in lattices(words, model.path, scores.shape[1]):
+        made = lattice.forward(model.prob)
+        scores[new[part]] = made
+        memory.add(h[new[part]], made)
     total = np.zeros((t.n, scores.shape[1]))
     for k in range(total.shape[1]):
         total[:, k] = np.bincount(w.text, weights=scores[inverse, k], minlength=t.n)
