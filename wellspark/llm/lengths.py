@@ -4,7 +4,9 @@ Documents are aggregated by encoded length.  For every length that occurs, the s
 sums answer for a context limit of that length: how many documents reach it, how many
 tokens they hold, what all documents keep when truncated at it, and which quantile it is.
 
-Defined cases: a null or empty text has length 0 and is counted; an empty table gives no rows.
+Defined cases: a null or empty text has length 0 and is counted; repeated rows each count; lengths
+that tie are one row; an empty table gives no rows; extra columns are ignored, whatever their
+names; a very long text costs memory for itself alone.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")), bucket_width=4096)
+    resolved = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")), bucket_width=256)
     return resolved.withColumn("headers", warc.header_text(F.col("headers")))
 
 

@@ -9,10 +9,11 @@ cut into buckets: a window sees one URL and one bucket, and each bucket begins w
 response of the buckets before it, which comes from a small aggregate.  So a URL that holds
 a third of all captures is spread over its buckets.
 
-Defined cases: a null URL or time resolves to ``no_response``; a response at the very time of the
+Defined cases: a null or blank URL or a null time resolves to ``no_response``; a response at the very time of the
 revisit is not earlier; of responses at one time the highest record id wins; a revisit without
 any validator is ``unchecked`` (and merged); null header maps are empty; header names are
-compared in lower case.
+compared in lower case; repeated rows each report; an empty table gives no rows; extra columns
+are ignored, whatever their names; a long URL or header map costs its own size.
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ def resolve_revisits(records: DataFrame, bucket_width: int = 3600) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").cast("int").alias("full"),
         F.floor(F.col("ts") / bucket_width).cast("long").alias("bucket"), F.struct("record_id", "etag", "last_modified", "payload_digest", "headers").alias("rec"),
     )
-    timed = base.filter(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
-    lost = base.filter((F.col("url_key").isNull() | F.col("ts").isNull()) & (F.col("full") == 0))
+    placed = F.coalesce(F.col("url_key") != "", F.lit(False)) & F.col("ts").isNotNull()
+    timed = base.filter(placed)
+    lost = base.filter(~placed & (F.col("full") == 0))
 
     # the last response of each URL and bucket, carried to the next bucket in which the URL occurs
     latest = timed.groupBy("url_key", "bucket").agg(F.max_by(F.when(F.col("full") == 1, F.col("rec")), F.when(F.col("full") == 1, F.struct("ts", "record_id"))).alias("rec"))
