@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, nothing, odd_documents, odd_rows, words
-from wellspark.llm import graph, jaccard, suffix_index, warc
+from wellspark.llm import graph, jaccard, kernel, suffix_index, warc
 
 
 def brute_repeats(texts, length=200):
@@ -138,8 +138,8 @@ def test_jaccard_against_brute_force(spark, seed):
 
 
 def test_jaccard_in_many_small_chunks(spark, monkeypatch):
-    """With chunks of 8 sets the links between chunks come from the second round."""
-    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    """With chunks of a few sets the links between chunks come from the second round."""
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 2500)
     rows = copies_corpus(5, 200)
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 5, 80)
@@ -157,6 +157,42 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicates(nothing(spark)).count() == 0 and jaccard.keep_one(nothing(spark), 5, 80).count() == 0
 
 
+def test_one_of_equal_rows_stays_whatever_their_columns(spark):
+    """Maps can't be ordered; rows with equal ids and texts are still told apart."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"b": 2}), (2, text, None), (3, None, {"c": 3}), (3, None, {"c": 3})], "doc_id int, text string, kept map<string,int>")
+    out = jaccard.keep_one(docs, 5, 80).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 3, 3] and {str(r["kept"]) for r in out if r["doc_id"] == 1} <= {"{'a': 1}", "{'b': 2}"}
+
+
+def test_size_bands_hold_all_links(spark):
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n"), jaccard.size_band(F.col("id"), 85).alias("band"))
+    band = {r["n"]: r["band"] for r in sizes.collect()}
+    assert all(band[n] - band[jaccard.need(n, 85)] <= 1 for n in band)
+
+
+def test_jaccard_of_megabyte_texts(spark):
+    rng = random.Random(41)
+    long = words(rng, 250_000)
+    parts = long.split()
+    parts[1000] = "other"
+    docs = spark.createDataFrame([(1, long), (2, " ".join(parts)), (3, words(rng, 30)), (4, words(rng, 250_000))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    got = {r["doc_id"]: r for r in suffix_index.digest(docs).collect()}
+    assert got[3]["n_removed"] == 0 and got[4]["n_removed"] == 0 and got[1]["n_bytes"] - got[1]["n_removed"] < 20
+
+
+def test_anchors_depend_on_windows_alone():
+    """Equal windows have equal anchors in batches of any size."""
+    rng = random.Random(43)
+    same = words(rng, 300).encode()
+    few = suffix_index.Runs(kernel.Texts([same]), 200)
+    many = suffix_index.Runs(kernel.Texts([words(rng, 20_000).encode(), same, words(rng, 60_000).encode()]), 200)
+    at = int(many.t.start[1])
+    inside = (many.lo >= at) & (many.hi < many.t.stop[1])
+    assert (many.lo[inside] - at).tolist() == few.lo.tolist() and (many.anchor[inside] == few.anchor).all() and (many.context[inside] == few.context).all()
+
+
 def test_signature_tree_bounds():
     """The dual traversal finds the components of all pairs, for any tree shape."""
     rng = np.random.default_rng(1)
@@ -230,12 +266,12 @@ def test_revisits(spark):
         (10, "http://x.org/p#z", 15, "revisit", 304, 'W/"a"', None, None, {"content-length": "0", "age": "7", "X": "y"}, None, None), (11, "http://x.org/p", 20, "revisit", 304, '"a"', None, None, None, None, None),
         (12, "http://x.org/p", 99, "revisit", 304, '"a"', None, None, None, None, None), (13, "http://x.org/p", 99, "revisit", 304, None, "d2", "s2", None, None, None), (14, "http://x.org/p", 99, "revisit", 304, None, None, None, None, None, None),
         (15, "http://x.org/p", 5, "revisit", 304, '"a"', None, None, None, None, None), (16, None, 99, "revisit", 304, '"a"', None, None, None, None, None), (17, "http://x.org/p", None, "revisit", 304, None, None, None, None, None, None),
-        (18, "http://x.org/p", 99999, "revisit", 304, None, "d2", "other", None, None, None),
+        (18, "http://x.org/p", 99999, "revisit", 304, None, "d2", "other", None, None, None), (19, "", 1, "response", 200, '"a"', None, None, None, None, None), (20, "  ", 9, "revisit", 304, '"a"', None, None, None, None, None),
     ]
     for width in (1, 8, 3600, 10**9):
         out = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD), width).collect()}
         assert {k: (r["verdict"], r["response_id"]) for k, r in out.items()} == {
-            10: ("resolved", 1), 11: ("resolved", 1), 12: ("changed", 2), 13: ("resolved", 2), 14: ("unchecked", 2), 15: ("no_response", None), 16: ("no_response", None), 17: ("no_response", None), 18: ("changed", 2),
+            10: ("resolved", 1), 11: ("resolved", 1), 12: ("changed", 2), 13: ("resolved", 2), 14: ("unchecked", 2), 15: ("no_response", None), 16: ("no_response", None), 17: ("no_response", None), 18: ("changed", 2), 20: ("no_response", None),
         }
         assert out[10]["headers"] == {"content-length": "9", "etag": '"a"', "age": "7", "x": "y"} and out[10]["payload_digest"] == "s1" and out[12]["headers"] is None
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
