@@ -267,7 +267,11 @@ def test_dct_and_illumination():
     flat /= flat.mean()
     stack = np.stack([flat * level for level in (50, 80, 120, 60, 90)]) + rng.normal(0, 0.1, (5, 16, 16))
     got, dark = kernels.fit_illumination(stack)
-    assert np.abs(got - flat).max() < 0.01
+    assert np.abs(got - flat).max() < 0.01 and np.abs(dark).max() < 1
+    offset = 40 + 10 * np.sin(np.pi * xx / 16)
+    stack = np.stack([flat * level + offset for level in rng.uniform(50, 300, 60)]) + rng.normal(0, 1, (60, 16, 16))
+    got, dark = kernels.fit_illumination(stack)
+    assert np.abs(got - flat).max() < 0.01 and np.abs(dark - offset).max() < 2
     assert kernels.correct_illumination(np.full((16, 16), 300, np.uint8 if False else np.uint16), got, dark).dtype == np.uint16
 
 
@@ -279,6 +283,149 @@ def test_granularity_is_brightness_invariant():
     assert np.allclose(a.filter(like="granularity"), b.filter(like="granularity"))
 
 
+def plain_granularity(v, m, steps, sub, background, radius):
+    """The same by loops over pixels."""
+
+    def at(a, y, x):
+        y0, x0 = int(np.floor(y)), int(np.floor(x))
+        y1, x1 = min(y0 + 1, a.shape[0] - 1), min(x0 + 1, a.shape[1] - 1)
+        fy, fx = y - y0, x - x0
+        return (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+
+    def smaller(a, f):
+        h, w = (max(1, int(s * f)) for s in a.shape)
+        return a if (h, w) == a.shape else np.array([[at(a, y / f, x / f) for x in range(w)] for y in range(h)])
+
+    def larger(a, shape):
+        h, w = shape
+        return a if a.shape == shape else np.array([[at(a, y * (a.shape[0] - 1) / (h - 1), x * (a.shape[1] - 1) / (w - 1)) for x in range(w)] for y in range(h)])
+
+    def around(a, r, f):
+        h, w = a.shape
+        return np.array([[f(a[j, i] for j in range(h) for i in range(w) if (j - y) ** 2 + (i - x) ** 2 <= r * r) for x in range(w)] for y in range(h)])
+
+    small = smaller(v.astype(float), sub)
+    back = around(around(smaller(small, background), radius, min), radius, max)
+    signal = np.maximum(small - larger(back, small.shape), 0)
+    names = [k for k in np.unique(m) if k]
+    start = [v[m == k].mean() for k in names]
+    now, worn, out = list(start), signal, []
+    for _ in range(steps):
+        worn = around(worn, 1, min)
+        rec = worn
+        while True:
+            new = np.minimum(around(rec, 1, max), signal)
+            if (new == rec).all():
+                break
+            rec = new
+        after = [larger(rec, v.shape)[m == k].mean() for k in names]
+        out.append([100 * (a - b) / s for a, b, s in zip(now, after, start)])
+        now = after
+    return names, np.array(out).T
+
+
+def test_granularity_against_loops():
+    rng = np.random.default_rng(8)
+    v, m = rng.random((26, 31)) * 100, np.zeros((26, 31), int)
+    m[2:14, 3:15], m[15:25, 10:30] = 4, 9
+    for options in ((4, 0.5, 0.5, 2), (3, 1.0, 0.25, 10), (16, 0.25, 0.25, 10)):
+        names, want = plain_granularity(v, m, *options)
+        got = kernels.granularity(v, m, *options)
+        assert got["label"].tolist() == names and np.allclose(got.drop(columns="label"), want)
+
+
+def plain_radial(on, value, bins=4):
+    """The same by a shortest-path search over pixels; the object is cut to its box."""
+    import heapq
+
+    yy, xx = np.nonzero(on)
+    on, value = (a[yy.min() : yy.max() + 1, xx.min() : xx.max() + 1] for a in (on, value))
+    off = np.argwhere(~on)
+    h, w = on.shape
+    if not len(off):
+        off = np.array([(y, x) for y in range(-1, h + 1) for x in range(-1, w + 1) if y in (-1, h) or x in (-1, w)])
+    edge = np.array([[np.sqrt(((off - (y, x)) ** 2).sum(1).min()) if on[y, x] else -1 for x in range(w)] for y in range(h)])
+    cy, cx = np.unravel_index(edge.argmax(), edge.shape)
+    d, heap = {(cy, cx): 0.0}, [(0.0, cy, cx)]
+    while heap:
+        cost, y, x = heapq.heappop(heap)
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                p = (y + dy, x + dx)
+                if 0 <= p[0] < h and 0 <= p[1] < w and on[p] and cost + np.hypot(dy, dx) < d.get(p, np.inf) - 1e-12:
+                    d[p] = cost + np.hypot(dy, dx)
+                    heapq.heappush(heap, (d[p], *p))
+    rings, total = {}, value[on].sum()
+    for y, x in np.argwhere(on).tolist():
+        k = min(bins - 1, int(d[y, x] / (d[y, x] + edge[y, x] + 1e-3) * bins)) if (y, x) in d else 0
+        rings.setdefault(k, []).append((value[y, x], (x > cx) + 2 * (y > cy) + 4 * (abs(x - cx) > abs(y - cy))))
+    out = {}
+    for k in range(bins):
+        v = rings.get(k, [])
+        share = sum(a for a, _ in v) / total
+        means = np.array([np.mean([a for a, b in v if b == q]) for q in sorted({b for _, b in v})])
+        out |= {f"frac_at_d_{k + 1}": share, f"mean_frac_{k + 1}": share / (len(v) / on.sum()) if v else 0.0, f"radial_cv_{k + 1}": means.std() / means.mean() if len(means) > 1 and means.mean() > 0 else 0.0}
+    return out
+
+
+def test_radial_against_a_path_search():
+    rng = np.random.default_rng(5)
+    for size, share in ((9, 0.5), (14, 0.75), (7, 1.0), (23, 0.85)):
+        on = rng.random((size, size + 3)) < share
+        on[3, 3] = True
+        value = rng.random(on.shape)
+        got, want = kernels.radial_distribution(on, value), plain_radial(on, value)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_kernels_take_many_sites_at_a_time(spark, monkeypatch):
+    """The same features whatever the batch, for sites of several sizes, null keys and objects of any box."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for site in range(12):
+        h, w = rng.integers(4, 30, 2)
+        mask = rng.integers(0, 3, (h, w))
+        rows += [(None if site == 5 else site, int(y), int(x), int(mask[y, x]), float(rng.random())) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "site long, y int, x int, label int, value double").cache()
+    names = {"radial": ["label", "frac_at_d_1", "radial_cv_4"], "granularity": ["label", "granularity_1"], "outline": ["label", "perimeter", "solidity"], "threshold_objects": ["object_area", "object_count"]}
+    options = {"granularity": {"steps": 2, "sub": 0.5}, "threshold_objects": {"threshold": 0.5}}
+    for kernel, features in names.items():
+        seen = []
+        for batch, stack in ((1 << 20, 1 << 21), (100, 64)):
+            monkeypatch.setattr(kernels, "BATCH_PIXELS", batch)
+            monkeypatch.setattr(kernels, "STACK_PIXELS", stack)
+            seen.append(sorted((tuple(r) for r in kernels.per_site(px, ["site"], kernel, features, **options.get(kernel, {})).collect()), key=str))
+        assert seen[0] == seen[1] and len({r[0] for r in seen[0]}) == 12
+
+
+def test_a_failing_site_gives_no_row(spark):
+    def only_small(pdf, **_):
+        if len(pdf) > 3:
+            raise ValueError("too large")
+        return [{"n": float(len(pdf))}]
+
+    kernels.register_kernel("only_small", only_small)
+    px = image(spark, [[1.0, 2.0]]).unionByName(image(spark, [[1.0] * 5]).withColumn("site", F.lit(9).cast("long")))
+    got = kernels.per_site(px, ["site"], "only_small", ["n"])
+    assert [r["n"] for r in got.collect()] == [2.0] and [r["site"] for r in kernels.bad_sites(px, got, ["site"]).collect()] == [9]
+
+
+def test_illumination_and_sizes_of_tables(spark):
+    rng = np.random.default_rng(3)
+    yy, xx = np.indices((12, 10))
+    flat = 1 + 0.2 * np.cos(np.pi * (yy + 0.5) / 12)
+    flat /= flat.mean()
+    rows = [("a", k, int(y), int(x), float(v)) for k, level in enumerate(rng.uniform(50, 200, 20)) for (y, x), v in np.ndenumerate(flat * level + 30)]
+    px = spark.createDataFrame(rows, "channel string, site long, y int, x int, value double")
+    fields = kernels.fit_fields(px, ["channel"], ["site"])
+    even = kernels.apply_fields(px, fields, ["channel"]).groupBy("site").agg(F.stddev_pop("value").alias("s"), F.avg("value").alias("m"))
+    assert fields.count() == 120 and all(r["s"] < 0.02 * r["m"] for r in even.collect())
+    half = kernels.resize_images(px.drop("channel"), ["site"], 0.5)
+    assert half.groupBy("site").agg(F.count("*").alias("n")).filter("n = 30").count() == 20
+    mask = px.select("site", "y", "x", (F.col("x") > 4).cast("double").alias("value"))
+    assert {r["value"] for r in kernels.resize_images(mask, ["site"], 2.0, True).select("value").distinct().collect()} == {0.0, 1.0}
+
+
 # --- embeddings, clusters, samples
 
 

@@ -6,6 +6,7 @@ collected.  Outside an image counts as label 0.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,16 +156,26 @@ def foreground_fraction(px: DataFrame, keys: list[str], value: str = "value") ->
     return at.groupBy(*keys).agg(F.avg("__on").alias("foreground"))
 
 
+#: Fixed value: the texture features of a co-occurrence matrix.
+TEXTURE = (
+    "contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm", "entropy", "variance", "sumaverage", "sumvariance", "sumentropy",
+    "differencevariance", "differenceentropy", "infomeasure1", "infomeasure2",
+)
+
+
 def glcm_pairs(px: DataFrame, site: list[str], distance: int, levels: int, value: str = "value") -> DataFrame:
-    """Symmetric grey-level pair counts inside objects, for four directions.
+    """Symmetric grey-level pair counts inside objects, for four directions; levels count from 1.
 
-    Values are quantised between the object's extremes.  Needs label, y, x, value.
+    Values are quantised between the object's extremes, which get the first and the last level.  A
+    diagonal step is the rounded projection of the distance.  Needs label, y, x, value.
     """
-    lim = px.filter("label > 0").groupBy(*site, "label").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    own = px.filter("label > 0")
+    lim = own.groupBy(*site, "label").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     span = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    grey = F.least(F.lit(levels - 1), F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__lo"), span), F.lit(0.0)) * levels)).cast("int")
-    quantised = px.filter("label > 0").join(lim, [*site, "label"]).select(*site, "label", "y", "x", grey.alias("i"))
-    steps = [(0, 0, distance), (1, distance, distance), (2, distance, 0), (3, distance, -distance)]
+    grey = (F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__lo"), span), F.lit(0.0)) * (levels - 1)) + 1).cast("int")
+    quantised = own.join(lim, [*site, "label"]).select(*site, "label", "y", "x", grey.alias("i"))
+    slant = round(distance * math.sqrt(0.5))
+    steps = [(0, 0, distance), (1, slant, slant), (2, distance, 0), (3, slant, -slant)]
     away = F.explode(F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for a, dy, dx in steps)))
     first = quantised.withColumn("__s", away).select(*site, "label", F.col("__s.angle").alias("angle"), (F.col("y") + F.col("__s.dy")).alias("y"), (F.col("x") + F.col("__s.dx")).alias("x"), "i")
     pairs = first.join(quantised.withColumnRenamed("i", "j"), [*site, "label", "y", "x"])
@@ -172,17 +183,94 @@ def glcm_pairs(px: DataFrame, site: list[str], distance: int, levels: int, value
     return both.groupBy(*site, "label", "angle", F.col("__p.i").alias("i"), F.col("__p.j").alias("j")).agg(F.count("*").alias("n"))
 
 
-def glcm_features(px: DataFrame, site: list[str], distance: int, levels: int) -> DataFrame:
-    """contrast, dissimilarity, homogeneity, energy, entropy, correlation: means over the directions."""
+def glcm_features(px: DataFrame, site: list[str], distance: int = 2, levels: int = 256) -> DataFrame:
+    """The ``TEXTURE`` features of every object: means over four directions.
+
+    A direction without a pair counts with zeros and a correlation of 1.  The matrix is symmetric, so one
+    marginal distribution serves both sides; logarithms are to base 2.
+    """
     keys = [*site, "label", "angle"]
-    n = glcm_pairs(px, site, distance, levels)
-    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
-    d = F.col("i") - F.col("j")
+    whole = Window.partitionBy(*keys)
+    p = glcm_pairs(px, site, distance, levels).withColumn("p", F.col("n") / F.sum("n").over(whole))
+    p = p.withColumn("px", F.sum("p").over(Window.partitionBy(*keys, "i"))).withColumn("py", F.sum("p").over(Window.partitionBy(*keys, "j")))
+    d, entropy = F.col("i") - F.col("j"), lambda q: F.sum(-q * F.log2(q))
+
+    def of(kind: str) -> DataFrame:
+        """Mean, variance and entropy of the sums or differences of a pair's levels."""
+        at = F.col("i") + F.col("j") if kind == "sum" else F.abs(d)
+        q = p.groupBy(*keys, at.alias("k")).agg(F.sum("p").alias("q"))
+        k, w = F.col("k"), F.col("q")
+        return q.groupBy(*keys).agg(F.sum(w * k).alias(f"{kind}average"), (F.sum(w * k * k) - F.pow(F.sum(w * k), F.lit(2))).alias(f"{kind}variance"), entropy(w).alias(f"{kind}entropy"))
+
     m = p.groupBy(*keys).agg(
         F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"),
-        F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"), F.sum(F.col("p") * F.col("i")).alias("__m"),
-        F.sum(F.col("p") * F.col("i") * F.col("i")).alias("__q"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("__x"),
+        F.sum(F.col("p") * F.col("p")).alias("asm"), entropy(F.col("p")).alias("entropy"), F.sum(F.col("p") * F.col("i")).alias("__m"),
+        F.sum(F.col("p") * F.col("i") * F.col("i")).alias("__q"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("__x"), F.sum(-F.col("p") * F.log2(F.col("px") * F.col("py"))).alias("__cross"),
     )
+    side = p.groupBy(*keys, "i").agg(F.first("px").alias("q")).groupBy(*keys).agg(entropy(F.col("q")).alias("__side"))
+    m = m.join(side, keys).join(of("sum"), keys).join(of("difference"), keys)
     var = F.col("__q") - F.col("__m") * F.col("__m")
+    m = m.withColumn("variance", F.greatest(var, F.lit(0.0))).withColumn("energy", F.sqrt("asm"))
     m = m.withColumn("correlation", F.when(var < 1e-15, 1.0).otherwise(F.try_divide(F.col("__x") - F.col("__m") * F.col("__m"), F.nullif(var, F.lit(0.0)))))
-    return m.groupBy(*site, "label").agg(*(F.avg(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation")))
+    # the product of both marginals has twice the entropy of one
+    m = m.withColumn("infomeasure1", F.coalesce(F.try_divide(F.col("entropy") - F.col("__cross"), F.nullif(F.col("__side"), F.lit(0.0))), F.lit(0.0)))
+    m = m.withColumn("infomeasure2", F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (2 * F.col("__side") - F.col("entropy"))))))
+    mean = m.groupBy(*site, "label").agg(F.count("*").alias("__n"), *((F.sum(c) / 4).alias(c) for c in TEXTURE))
+    out = labels_of(px, site).join(mean, [*site, "label"], "left")
+    missing = (4 - F.coalesce("__n", F.lit(0))) / 4
+    return out.select(*site, "label", *((F.coalesce(c, F.lit(0.0)) + (missing if c == "correlation" else F.lit(0.0))).alias(c) for c in TEXTURE))
+
+
+def without_small(mask: DataFrame, site: list[str], least: int = 5) -> DataFrame:
+    """Pixels of objects with at least ``least`` pixels."""
+    big = mask.filter("label > 0").groupBy(*site, "label").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    return mask.join(big.drop("__n"), [*site, "label"], "left_semi")
+
+
+def outlines(mask: DataFrame, site: list[str], least: int = 5) -> DataFrame:
+    """The border of every object as unit segments between pixel centres' half steps: label, y0, x0, y1, x1.
+
+    A segment is a pixel side with another label (or nothing) beyond it; together they close around the
+    object, also at the image's border.  Objects of fewer than ``least`` pixels are left out.
+    """
+    big = without_small(mask, site, least).select(*site, "label").distinct()
+    n = neighbours(mask, site).filter("label > 0").join(big, [*site, "label"], "left_semi")
+    sides = [("left", -0.5, -0.5, 0.5, -0.5), ("right", -0.5, 0.5, 0.5, 0.5), ("up", -0.5, -0.5, -0.5, 0.5), ("down", 0.5, -0.5, 0.5, 0.5)]
+    cut = F.array(*(F.when(F.col(k) != F.col("label"), F.struct((F.col("y") + a).alias("y0"), (F.col("x") + b).alias("x0"), (F.col("y") + c).alias("y1"), (F.col("x") + e).alias("x1"))) for k, a, b, c, e in sides))
+    return n.select(*site, "label", F.explode(F.filter(cut, lambda c: c.isNotNull())).alias("s")).select(*site, "label", "s.*")
+
+
+def to_float_max(value: Column, max_value: float | None) -> Column:
+    """Integers as shares of the largest value; unchanged without one."""
+    return value if max_value is None else value.cast("double") / float(max_value)
+
+
+def reference_stats(px: DataFrame, site: list[str], channel: str = "channel", value: str = "value", low: float = 0.0, high: float = 100.0, method: str = "per_channel", masked: bool = True) -> DataFrame:
+    """lo, hi, mean, std by site and channel, for ``normalize_fixed``: percentiles, then the rescaled values' statistics.
+
+    With ``masked`` only pixels with a nonzero value in any channel count.  ``method`` is per_channel,
+    global (all channels pooled) or null (mean 0, deviation 1); a channel without range gets zeros.
+    """
+    keys = [*site, channel]
+    if masked:
+        on = px.groupBy(*site, "y", "x").agg(F.max((F.col(value) != 0).cast("int")).alias("__on")).filter("__on = 1").drop("__on")
+        px = px.join(on, [*site, "y", "x"], "left_semi")
+    lim = px.groupBy(*keys).agg(F.percentile(value, F.lit(max(low, 0.0) / 100)).cast("double").alias("lo"), F.percentile(value, F.lit(min(high, 100.0) / 100)).cast("double").alias("hi"))
+    flat = F.col("hi") <= F.col("lo")
+    lim = lim.select(*keys, F.when(flat, 0.0).otherwise(F.col("lo")).alias("lo"), F.when(flat, 0.0).otherwise(F.col("hi")).alias("hi"))
+    if method == "null":
+        return lim.select("*", F.lit(0.0).alias("mean"), F.when(F.col("hi") > F.col("lo"), 1.0).otherwise(0.0).alias("std"))
+    scaled = (F.greatest(F.col("lo"), F.least(F.col("hi"), F.col(value).cast("double"))) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    rows = px.join(lim, keys).withColumn("__v", F.coalesce(scaled, F.lit(0.0)))
+    over = keys if method == "per_channel" else site
+    stats = rows.groupBy(*over).agg(F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"))
+    some = F.col("hi") > F.col("lo")
+    return lim.join(stats, over).select(*keys, "lo", "hi", F.when(some, F.col("mean")).otherwise(0.0).alias("mean"), F.when(some, F.col("std")).otherwise(0.0).alias("std"))
+
+
+def normalize_by_reference(px: DataFrame, stats: DataFrame, keys: list[str], value: str = "value", inside: Column | None = None) -> DataFrame:
+    """Clip, rescale to 0..1 and z-score by fixed ``reference_stats``; 0 without range or spread, and outside ``inside``."""
+    scaled = (F.greatest(F.col("lo"), F.least(F.col("hi"), F.col(value).cast("double"))) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    z = F.when((F.col("hi") > F.col("lo")) & (F.col("std") > 1e-6), (scaled - F.col("mean")) / F.col("std")).otherwise(0.0)
+    z = z if inside is None else F.when(inside, z).otherwise(0.0)
+    return px.join(stats, keys).withColumn("normalized", z).drop("lo", "hi", "mean", "std")
