@@ -31,10 +31,10 @@ def test_codecs_round_trip():
 def plate(tmp_path):
     for r, c in ((1, 1), (2, 10)):
         for ch in (1, 2):
-            (tmp_path / f"r{r:02}c{c:02}f01p01-ch{ch}.tiff").write_bytes(images.write_tiff(np.full((4, 4), ch * 1000, np.uint16)))
-    (tmp_path / "r01c01f01p01-ch1_cp_masks_cell.png").write_bytes(images.write_png(np.eye(4, dtype=np.uint8)))
+            (tmp_path / f"r{r:02}c{c:02}f01p01-ch{ch}sk1fk1fl1.tiff").write_bytes(images.write_tiff(np.full((4, 4), ch * 1000, np.uint16)))
+    (tmp_path / "r01c01f01p01-ch1sk1fk1fl1_cp_masks_cell.png").write_bytes(images.write_png(np.eye(4, dtype=np.uint8)))
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "r03c01f01p01-ch1.tiff").write_bytes(b"not a real tiff")
+    (tmp_path / "sub" / "r03c01f01p01-ch1sk1fk1fl1.tiff").write_bytes(b"not a real tiff")
     return tmp_path
 
 
@@ -42,8 +42,8 @@ def test_catalogue(spark, plate):
     files = catalog.list_files(spark, str(plate))
     pngs = files.filter(F.col("path").endswith(".png"))
     sites = catalog.site_metadata(files.filter(F.col("path").endswith(".tiff")), pngs).collect()
-    assert [r["well"] for r in sites] == ["A1", "B10", "C1"] and sites[0]["field"] == "01"
-    assert sites[0]["ch1"].endswith("-ch1.tiff") and sites[2]["ch2"] is None and sites[0]["mask_cell"].endswith("cell.png") and sites[1]["mask_cell"] is None
+    assert [r["well"] for r in sites] == ["A1", "B10", "C1"] and sites[0]["field"] == "1" and sites[0]["timepoint"] == "1"
+    assert sites[0]["ch1"].endswith("-ch1sk1fk1fl1.tiff") and sites[2]["ch2"] is None and sites[0]["mask_cell"].endswith("cell.png") and sites[1]["mask_cell"] is None
     assert catalog.cell_table(files, r"r(?P<row>\d+)c(?P<col>\d+)").count() == 5
     assert catalog.list_files(spark, str(plate), subdir="su*").count() == 1
     with pytest.raises(ValueError):

@@ -126,3 +126,15 @@ def warmup_cosine(step: int, base: float, final: float, steps: int, warmup: int
 
 def now_iso() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def decode_blob(c: Column, dtype: str = "float32") -> Column:
+    """Bytes of little-endian numbers as an array of floats; null stays null."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.frombuffer(bytes(b), dtype).astype(np.float32))
+
+    return decode(c)

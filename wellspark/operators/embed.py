@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspark.functions.vector import dot, l2_normalize, total
+from wellspark.functions.vector import adaptive_scale, dot, l2_normalize, softmax, total
 
 #: Bytes of reference vectors that one pass holds on an executor.
 BLOCK_BYTES = 64 << 20
@@ -222,15 +222,55 @@ def selection_metrics(df: DataFrame, kept: DataFrame, id_: str, vector: str, rad
     return a.join(F.broadcast(alone.agg(F.percentile("d", F.lit(0.5)).alias("isolation_median"), F.min("d").alias("isolation_min"))))
 
 
-def greedy_cover(df: DataFrame, id_: str, vector: str, radius: float, seeds: DataFrame | None = None, cells: int = 1, seed: int = 0) -> DataFrame:
-    """kept rows: in hash order, a row is kept if no kept row (or seed) is within the radius.
+#: Rows of one chunk of the greedy walk, and the neighbour whose distance tells the density.
+CHUNK = 8192
+DENSITY_K = 10
+
+
+def density_scale(df: DataFrame, id_: str, vector: str, power: float, k: int = DENSITY_K) -> DataFrame:
+    """id and ``scale``: (distance to the k-th nearest other row / the median of that) ** power, between 0.5 and 2.
+
+    1 for all if there are too few rows, or if half of them have k equal ones.
+    """
+    far = nearest(df, df, id_, vector, k, exclude_self=True).groupBy(F.col("query").alias(id_)).agg(F.count("*").alias("__n"), F.min("similarity").alias("__s"))
+    far = far.select(id_, F.when(F.col("__n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("__s")))).alias("__d"))
+    middle = far.agg(F.percentile("__d", F.lit(0.5)).alias("__m"))
+    return far.join(F.broadcast(middle)).select(id_, F.when((F.col("__m") > 0) & F.col("__d").isNotNull(), adaptive_scale(F.col("__d"), F.col("__m"), power)).otherwise(1.0).alias("scale"))
+
+
+def cover_rows(v: np.ndarray, radius: np.ndarray, held: np.ndarray, chunk: int = CHUNK) -> list[int]:
+    """The greedy walk over unit rows in the order given: which are kept.
+
+    Chunk by chunk the rows beyond their own radius of what is held compete, the most isolated first (the
+    first in order among equals); a row is kept if it is beyond its radius of those kept before it.
+    """
+    kept: list[int] = []
+    for start in range(0, len(v), chunk):
+        part, limit = v[start : start + chunk], radius[start : start + chunk]
+        near = np.round((part @ held.T).max(1), 12) if len(held) else np.full(len(part), -np.inf)
+        apart = lambda dots: np.sqrt(np.maximum(0, 2 - 2 * dots))
+        open_ = np.flatnonzero(apart(near) > limit)
+        taken = []
+        for i in open_[np.argsort(near[open_], kind="stable")].tolist():
+            if apart(near[i]) > limit[i]:
+                taken.append(i)
+                near = np.maximum(near, np.round(part @ part[i], 12))
+        kept += [start + i for i in sorted(taken)]
+        held = np.concatenate([held, part[sorted(taken)]])
+    return kept
+
+
+def greedy_cover(df: DataFrame, id_: str, vector: str, radius: float, seeds: DataFrame | None = None, cells: int = 1, seed: int = 0, scale: str | None = None) -> DataFrame:
+    """kept rows: a greedy cover (see ``cover_rows``) in hash order; ``scale`` names a column of factors on the radius.
 
     The rule is sequential.  ``cells`` > 1 first covers hash cells independently and in parallel, then
     covers the union of what they kept, so the single last task holds kept rows only.  The cover
-    property holds within radius (1 cell) or twice the radius (several).
+    property holds within a row's radius (1 cell) or twice the largest one (several).  ``seeds`` are rows
+    that count as held; they are broadcast.
     """
     order = F.xxhash64(F.lit(seed), id_)
-    rows = df.select(F.col(id_).cast("long").alias("id"), order.alias("o"), F.col(vector).cast("array<double>").alias("v"), F.pmod(order, F.lit(cells)).alias("cell"))
+    factor = F.lit(1.0) if scale is None else F.col(scale).cast("double")
+    rows = df.select(F.col(id_).cast("long").alias("id"), order.alias("o"), F.col(vector).cast("array<double>").alias("v"), (factor * radius).alias("r"), F.pmod(order, F.lit(cells)).alias("cell"))
     known = [] if seeds is None else [np.array(r[0]) for r in seeds.select(F.col(vector).cast("array<double>")).toLocalIterator()]
     shared = df.sparkSession.sparkContext.broadcast(np.stack(known) if known else None)
 
@@ -238,36 +278,55 @@ def greedy_cover(df: DataFrame, id_: str, vector: str, radius: float, seeds: Dat
         pdf = pdf.sort_values(["o", "id"])
         v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
         held = shared.value if shared.value is not None else np.zeros((0, v.shape[1]))
-        limit = 1 - radius * radius / 2
-        kept: list[int] = []
-        for start in range(0, len(v), 4096):
-            part = v[start : start + 4096]
-            best = (part @ held.T).max(1) if len(held) else np.full(len(part), -np.inf)
-            alive = best < limit
-            while alive.any():
-                i = int(alive.argmax())
-                kept.append(start + i)
-                alive &= part @ part[i] < limit
-                alive[: i + 1] = False
-            held = np.concatenate([held, v[[k for k in kept if k >= start]]])
-        return pdf.iloc[kept]
-
-    schema = "id long, o long, v array<double>, cell long"
+        return pdf.iloc[cover_rows(v, pdf["r"].to_numpy(float), held)]
+
+    schema = "id long, o long, v array<double>, r double, cell long"
     if cells > 1:
-        rows = rows.groupBy("cell").applyInPandas(cover, schema).withColumn("cell", F.lit(0).cast("long"))
+        rows = rows.groupBy("cell").applyInPandas(cover, schema)
     return rows.withColumn("cell", F.lit(0).cast("long")).groupBy("cell").applyInPandas(cover, schema).select(F.col("id").alias(id_))
 
 
-def search_radius(df: DataFrame, id_: str, vector: str, target: int, rounds: int = 24) -> float:
-    """A radius whose cover has about ``target`` rows (within 1 %), by bisection on [0, 2]."""
-    low, high, middle = 0.0, 2.0, 1.0
+def search_radius(df: DataFrame, id_: str, vector: str, target: int, rounds: int = 24, seeds: DataFrame | None = None, scale: str | None = None) -> float:
+    """The tried radius whose cover came nearest to ``target`` rows, by bisection on [0, 2], ended within 1 %."""
+    low, high, best = 0.0, 2.0, None
     for _ in range(rounds):
         middle = (low + high) / 2
-        n = greedy_cover(df, id_, vector, middle).count()
-        if abs(n - target) <= 0.01 * target:
+        n = greedy_cover(df, id_, vector, middle, seeds, scale=scale).count()
+        if best is None or abs(n - target) < best[0]:
+            best = (abs(n - target), middle)
+        if abs(n - target) <= max(1, round(0.01 * target)):
             break
         low, high = (middle, high) if n > target else (low, middle)
-    return middle
+    return best[1]
+
+
+def content_dependence(patches: DataFrame, image: str, patch: str, vector: str, anchor: int | None = None) -> DataFrame:
+    """One row, ``index``: the mean correlation of different images' maps of similarity to their own anchor patch.
+
+    The anchor is the middle patch unless given, and its own column is left out.  Near 1 every image
+    has the same map.  With maps of length 1, the sum of all pairs is that of the summed map with itself.
+    """
+    unit = patches.select(image, patch, l2_normalize(F.col(vector)).alias("__v"))
+    at = unit.agg(F.floor((F.max(patch) + 1) / 2).cast("int").alias("__a")) if anchor is None else patches.sparkSession.createDataFrame([(anchor,)], "__a int")
+    named = unit.join(F.broadcast(at))
+    own = named.filter(F.col(patch) == F.col("__a")).select(image, F.col("__v").alias("__w"))
+    maps = named.filter(F.col(patch) != F.col("__a")).join(own, image).select(image, patch, dot(F.col("__v"), F.col("__w")).alias("__s"))
+    stats = maps.groupBy(image).agg(F.avg("__s").alias("__m"), F.sqrt(F.sum(F.col("__s") * F.col("__s")) - F.count("*") * F.avg("__s") * F.avg("__s")).alias("__n"))
+    scaled = maps.join(stats, image).select(image, patch, ((F.col("__s") - F.col("__m")) / F.greatest(F.col("__n"), F.lit(1e-8))).alias("__z"))
+    whole = scaled.groupBy(patch).agg(F.sum("__z").alias("__t"), F.sum(F.col("__z") * F.col("__z")).alias("__q")).agg(F.sum(F.col("__t") * F.col("__t")).alias("__t"), F.sum("__q").alias("__q"))
+    n = stats.agg(F.count("*").alias("__n"))
+    return whole.join(F.broadcast(n)).select(F.when(F.col("__n") > 1, (F.col("__t") - F.col("__q")) / (F.col("__n") * (F.col("__n") - 1))).alias("index"))
+
+
+def collapse_metrics(df: DataFrame, logits: str, student: str, teacher: str, temperature: float = 0.1) -> DataFrame:
+    """One row: the mean deviation inside a row of logits, the mean normalised entropy, and the mean cosine of student and teacher."""
+    z = F.col(logits)
+    n, mean = F.size(z), total(z) / F.size(z)
+    spread = F.sqrt(total(F.transform(z, lambda x: (x - mean) * (x - mean))) / (n - 1))
+    p = softmax(F.transform(z, lambda x: x / temperature))
+    entropy = -total(F.transform(p, lambda x: x * F.log(x + 1e-12))) / F.log(n.cast("double"))
+    same = dot(l2_normalize(F.col(student)), l2_normalize(F.col(teacher)))
+    return df.agg(F.avg(spread).alias("head_logits_std"), F.avg(entropy).alias("head_entropy"), F.avg(same).alias("teacher_student_sim"))
 
 
 def farthest_points(vectors: np.ndarray, m: int) -> list[int]:

@@ -136,3 +136,38 @@ def density(df: DataFrame, value: str, bins: int) -> DataFrame:
     width = (F.col("high") - F.col("low")) / bins
     place = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("low"), width), F.lit(0.0)))).cast("int")
     return df.filter(F.col(value).isNotNull()).join(F.broadcast(lim)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.try_divide(F.count("*"), F.first("n") * F.first(width)).alias("density"))
+
+
+def grouped_series(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each group's values as an array in order, without null keys and values, with its place in natural order of the keys.
+
+    A group's values are one row, so this is for what a plot shows; aggregates serve larger groups.
+    """
+    rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys) or "true")
+    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    order = Window.orderBy(*(natural_key(F.col(k).cast("string")) for k in keys))
+    return out.withColumn("place", F.row_number().over(order) - 1) if keys else out.withColumn("place", F.lit(0))
+
+
+def resolve_groups(df: DataFrame, by: str, cluster: str = "cluster", label: str = "label", source: str = "source", names: dict[str, str] | None = None) -> DataFrame:
+    """``group`` of each row: its cluster's name by size, its label (``unknown`` without one), its source's short name, or null for none."""
+    if by == "cluster":
+        return df.join(size_rank(df, cluster).select(cluster, F.col("name").alias("group")), cluster, "left")
+    if by == "label":
+        return df.withColumn("group", F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit("unknown")))
+    if by == "source":
+        short = F.create_map(*(F.lit(x) for kv in (names or {}).items() for x in kv)) if names else None
+        last = F.regexp_extract(F.regexp_replace(source, "/+$", ""), "([^/]*)$", 1)
+        return df.withColumn("group", last if short is None else F.coalesce(F.try_element_at(short, F.col(source)), last))
+    if by == "none":
+        return df.withColumn("group", F.lit(None).cast("string"))
+    raise ValueError(f"unknown grouping: {by}")
+
+
+def multi_label_scores(df: DataFrame, truth: Column, probability: Column, classes: list[str], threshold: float = 0.5) -> DataFrame:
+    """class, n_true, n_predicted, n_right and F1 of multi-label rows: label sets and an array of class probabilities."""
+    long = df.select(F.posexplode(probability).alias("k", "p"), truth.alias("t"))
+    name = F.element_at(F.array(*map(F.lit, classes)), F.col("k") + 1)
+    hit, said = F.array_contains("t", name), F.col("p") >= threshold
+    out = long.groupBy(name.alias("class")).agg(F.count_if(hit).alias("n_true"), F.count_if(said).alias("n_predicted"), F.count_if(hit & said).alias("n_right"))
+    return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("n_right"), F.col("n_true") + F.col("n_predicted")), F.lit(0.0)))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
+import os
 import re
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.functions.text import base_name, captures, channel_column, derive_well, natural_key, normalize_well, parent, portable_path
+from wellspark.functions.text import base_name, captures, channel_column, derive_well, mask_column, natural_key, normalize_well, parent, portable_path
 from wellspark.operators.fuse import join_image_mask
 from wellspark.operators.plate import natural_sort
 
@@ -17,9 +20,10 @@ STRUCTURAL = ("well", "field", "stack", "timepoint", "channel", "row", "col")
 IGNORED = ("ext", "tile", "mask_name", "directory", "stem", "path")
 SORT = ("row", "col", "well", "field", "stack", "timepoint")
 
-#: The default file-name patterns.
-IMAGE_PATTERN = r"r(?P<row>\d+)c(?P<col>\d+)f(?P<field>\d+)p(?P<stack>\d+)-ch(?P<channel>\d+)\.tiff?"
-MASK_PATTERN = r"r(?P<row>\d+)c(?P<col>\d+)f(?P<field>\d+)p(?P<stack>\d+)-ch\d+_cp_masks_(?P<mask_name>\w+)\.png"
+#: The default file-name patterns, and the folder of the images.
+IMAGE_PATTERN = r"r(?P<row>\d+)c(?P<col>\d+)f0?(?P<field>\d+)p0?(?P<stack>\d+)-ch0?(?P<channel>\d+)(?:sk|t)0?(?P<timepoint>\d+).*\.tiff"
+MASK_PATTERN = r"r(?P<row>\d+)c(?P<col>\d+)f0?(?P<field>\d+)p0?(?P<stack>\d+)-ch0?(?P<channel>\d+)(?:sk|t)0?(?P<timepoint>\d+).*_cp_masks_(?P<mask_name>.+)\.png"
+IMAGE_SUBDIR = "images"
 
 
 @dataclasses.dataclass
@@ -147,3 +151,51 @@ def completeness(spark: SparkSession, sites: DataFrame, tables: dict[str, list[s
 
 def canonical_wells(df: DataFrame) -> DataFrame:
     return df.withColumn("well", normalize_well(F.col("well")))
+
+
+def resolve_datasets(root: str, pattern: str) -> list[str]:
+    """The folder itself if its name matches from its beginning, else its matching subfolders in order; none if it isn't there."""
+    folder = Path(root)
+    if not folder.is_dir():
+        return []
+    if re.match(pattern, folder.name):
+        return [str(folder)]
+    return sorted(str(f) for f in folder.iterdir() if f.is_dir() and re.match(pattern, f.name))
+
+
+def resolve_directory(directory: str | None, root: str) -> str:
+    """The absolute folder of a stored one: under the working folder if it is there, else under ``root`` if it is there."""
+    if not directory or directory in (".", "./"):
+        return str(Path(root).absolute())
+    if Path(directory).is_absolute():
+        return os.path.normpath(directory)
+    here, there = (os.path.normpath(Path(base) / directory) for base in (Path.cwd(), Path(root).absolute()))
+    return there if not Path(here).exists() and Path(there).exists() else here
+
+
+def canonical_directory(path: str) -> str:
+    """The stored form of a folder: relative to the working folder if it lies below, with forward slashes."""
+    full = os.path.abspath(path)
+    short = os.path.relpath(full)
+    return (full if short.startswith("..") else short).replace("\\", "/")
+
+
+def suggest_model_name(path: str) -> str:
+    """A model file's stem, or its folder's name if the stem says nothing (``model``)."""
+    p = Path(path)
+    return p.stem if p.stem and p.stem != "model" else p.parent.name or p.stem or "model"
+
+
+def registered_only(features: DataFrame, registry: DataFrame, path: str = "filepath") -> DataFrame:
+    """Features whose path is registered."""
+    return features.join(registry.select(path).distinct(), path, "left_semi")
+
+
+def only_subset(files: DataFrame, wanted: DataFrame | None, path: str = "filepath") -> DataFrame:
+    """The files of a list, or all without a list."""
+    return files if wanted is None else registered_only(files, wanted, path)
+
+
+def with_masks(sites: DataFrame, masks: list[str]) -> DataFrame:
+    """Sites that have all the named masks."""
+    return sites.filter(reduce(lambda a, b: a & b, (F.col(f"`{mask_column(m)}`").isNotNull() for m in masks)))

@@ -148,3 +148,97 @@ def selection_outputs(df: DataFrame, kept: DataFrame, id_: str) -> dict[str, Dat
 def stack(frames: list[DataFrame]) -> DataFrame:
     """By name; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def table_sources(frames: dict[str, DataFrame], stem: str, prefix: str | None = None) -> list[Source]:
+    """The sources of one result set by its tables' names: an inference star if it has ``inference``, else object tables."""
+    if "inference" in frames:
+        reductions = [df for n, df in sorted(frames.items()) if n.startswith("reduction_")]
+        return inference_sources(frames["inference"], reductions, frames.get("clusters"), stem, prefix)
+    out = []
+    for name, df in sorted(frames.items()):
+        if "label" in df.columns:
+            out += [Source(part, name, stem, tag or name, False, prefix) for tag, part in read_masks(without_binary(df))]
+    return out
+
+
+def absorbed(inference: DataFrame, reductions: list[DataFrame], clusters: DataFrame | None, stem: str) -> dict[str, DataFrame]:
+    """One wide table per mask out of an inference star; rows without a mask go by the star's name."""
+    return {s.mask or stem: s.df for s in inference_sources(inference, reductions, clusters, stem)}
+
+
+def build_merged(spark: SparkSession, name: str, sets: dict[str, dict[str, DataFrame]], prefixes: dict[str, str] | None = None, default_mask: str | None = None) -> DataFrame | None:
+    """The merged table ``name`` rebuilt from result sets (stem -> tables); a stale one goes if nothing is left to merge.
+
+    Sets that aren't merged themselves (those with an ``inference`` table and no object rows) are read as stars.
+    """
+    prefixes = prefixes or {}
+    sources = [s for stem, frames in sorted(sets.items()) for s in table_sources(frames, stem, prefixes.get(stem))]
+    df = merged_table(sources, default_mask)
+    if df is None:
+        drop_table(spark, name)
+        return None
+    save_table(df, name, "replace")
+    return spark.table(name)
+
+
+def init_table(spark: SparkSession, name: str, schema: T.StructType) -> bool:
+    """An empty table of these columns; one with other columns is dropped and made anew.  True if it is new."""
+    if spark.catalog.tableExists(name):
+        if spark.table(name).columns == schema.names:
+            return False
+        drop_table(spark, name)
+    spark.createDataFrame([], schema).write.saveAsTable(name)
+    return True
+
+
+class BatchWriter:
+    """Frames into one table: the first write replaces it and fixes the columns, later ones are fitted to them.
+
+    Nothing is written before ``every`` frames are there or ``close`` is called; without frames no table is made.
+    """
+
+    def __init__(self, name: str, every: int = 50) -> None:
+        self.name, self.every, self._held, self._schema = name, every, [], None
+
+    def add(self, df: DataFrame) -> None:
+        self._held.append(df)
+        if len(self._held) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self._held:
+            return
+        df = stack(self._held)
+        if self._schema is None:
+            self._schema = df.schema
+            save_table(df, self.name, "replace")
+        else:
+            save_table(conform(df, self._schema), self.name, "append")
+        self._held = []
+
+    def close(self) -> None:
+        self.flush()
+
+
+def cached(spark: SparkSession, path: str, make: object) -> DataFrame:
+    """Rows kept as Parquet at ``path``; missing or unreadable ones are made anew."""
+    try:
+        df = spark.read.parquet(path)
+        df.limit(1).collect()
+    except Exception:  # noqa: BLE001  nothing there, or broken
+        make().write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+    return df
+
+
+def log_metrics(spark: SparkSession, path: str, rows: list[tuple[str, int, int, dict[str, float]]]) -> None:
+    """Appends (tag, step, epoch, metrics) as one CSV row each, with a column per name in order."""
+    names = sorted({k for r in rows for k in r[3]})
+    kind = ", ".join(["tag string", "step long", "epoch long", *(f"`{n}` double" for n in names)])
+    append_manifest(spark, path, spark.createDataFrame([(t, s, e, *(float(m[n]) if n in m else None for n in names)) for t, s, e, m in rows], kind))
+
+
+def sorted_manifest(df: DataFrame) -> DataFrame:
+    """By source, then path."""
+    return df.orderBy("source", "filepath")
