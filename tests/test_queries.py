@@ -45,16 +45,16 @@ def test_gives_rows(spark, name):
 def test_outer_fusion_on_whole_tables(spark, tmp_path):
     """Every row takes part, whatever its id; null folders against brute force."""
     rng = random.Random(3)
-    rows = [(k, line, float(rng.randint(1, 50)), 1.0, rng.choice("RN")) for k in (11, 14, 15, 22, 399, 400, 401, 407, 440, 462, 5005, 90001) for line in (1, 2) for _ in range(rng.randint(0, 3))]
+    rows = [(k, line, float(rng.randint(1, 50)), 1.0, rng.choice("RN")) for k in (1009, 14, 15, 2018, 399, 400, 401, 7063, 440, 9081, 5005, 90001) for line in (1, 2) for _ in range(rng.randint(0, 3))]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    folder = lambda k: k if k % 11 else None
+    folder = lambda k: k if k % 1009 else None
     keys = sorted({r[:2] for r in rows})
     own = {k: [r for r in rows if r[:2] == k] for k in keys}
     a = [(folder(k[0]), k[1], k[0], sum(r[2] for r in own[k])) for k in keys]
     b = [(folder(k[0]), k[1], k[0], round(sum(r[4] == "R" for r in own[k]) / len(own[k]), 6)) for k in keys if k[0] % 7]
     want = [(*x, *y[2:]) for x in a for y in b if x[:2] == y[:2]]
     want += [(*x, None, None) for x in a if x[:2] not in {y[:2] for y in b}] + [(*y[:2], None, None, *y[2:]) for y in b if y[:2] not in {x[:2] for x in a}]
-    got = queries.QUERIES["fuse_outer_all"](spark, str(tmp_path)).select("directory", "label", "site", "area", "`infer/site`", "pred_prob")
+    got = queries.QUERIES["fuse_outer"](spark, str(tmp_path)).select("directory", "label", "site", "area", "`infer/site`", "pred_prob")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
@@ -75,5 +75,5 @@ def test_threshold_objects_on_the_whole_table(spark, tmp_path):
                 left -= near
                 todo += near
         want.append((k, float(area), float(count), round(area / count, 6) if count else 0.0))
-    got = queries.QUERIES["threshold_objects_all"](spark, str(tmp_path))
+    got = queries.QUERIES["threshold_objects"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(want)

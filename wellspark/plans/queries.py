@@ -87,22 +87,15 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_OBJECTS}, a AS (SELECT directory, label, site, area FROM o WHERE site < 400), b AS (SELECT directory, label, uid AS site_b, pred_prob FROM p WHERE uid < 400)
+    f"""WITH {_OBJECTS}, a AS (SELECT CASE WHEN site % 1009 <> 0 THEN site END AS directory, label, site, area FROM o), b AS (SELECT CASE WHEN uid % 1009 <> 0 THEN uid END AS directory, label, uid AS site_b, pred_prob FROM p)
 SELECT coalesce(a.directory, b.directory) AS directory, coalesce(a.label, b.label) AS label, a.site, area, b.site_b AS "infer/site", round(pred_prob, 6) AS pred_prob
 FROM a FULL JOIN b ON a.directory IS NOT DISTINCT FROM b.directory AND a.label IS NOT DISTINCT FROM b.label"""
 )
 def fuse_outer(spark: SparkSession, d: str) -> DataFrame:
-    """Null folders match each other and fan out; a clashing column is renamed."""
-    a = objects(spark, d).filter("site < 400").drop("intensity")
-    b = predictions(spark, d).filter("uid < 400").withColumnRenamed("uid", "site")
-    return rounded(fuse.fuse_pair(a, fuse.Source(b, "inference", "infer")))
-
-
-@query()
-def fuse_outer_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same on whole tables, where the null folders of a label give the product of both sides' rows."""
-    a = objects(spark, d).drop("intensity")
-    b = predictions(spark, d).withColumnRenamed("uid", "site")
+    """Null folders (here every 1009th) match each other and fan out; a clashing column is renamed."""
+    folder = lambda c: F.when(F.col(c) % 1009 != 0, F.col(c))
+    a = objects(spark, d).drop("intensity").withColumn("directory", folder("site"))
+    b = predictions(spark, d).withColumn("directory", folder("uid")).withColumnRenamed("uid", "site")
     return rounded(fuse.fuse_pair(a, fuse.Source(b, "inference", "infer")))
 
 
@@ -188,11 +181,11 @@ SELECT c.child, CAST(coalesce(r.parent, 0) AS BIGINT) AS parent FROM (SELECT DIS
 )
 def parent_majority(spark: SparkSession, d: str) -> DataFrame:
     """A row is a pixel: its order is the child object and its supplier the parent; every fourth supplier is background."""
-    px = read(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("at"), "l_orderkey", "l_suppkey")
-    both = px.select(F.col("l_orderkey").alias("child"), F.when(F.col("l_suppkey") % 4 == 0, 0).otherwise(F.col("l_suppkey")).alias("parent"))
-    n = both.filter("child > 0").groupBy("child", "parent").agg(F.count("*").alias("n"))
-    best = F.max_by(F.when(F.col("parent") > 0, F.col("parent")), F.when(F.col("parent") > 0, F.struct("n", -F.col("parent"))))
-    return n.groupBy("child").agg(F.coalesce(best, F.lit(0)).cast("long").alias("parent"))
+    px = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy(F.lit(0))).alias("copy"))
+    at = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]
+    child = px.select(*at, F.col("l_orderkey").alias("label"))
+    parent = px.select(*at, F.when(F.col("l_suppkey") % 4 == 0, 0).otherwise(F.col("l_suppkey")).alias("label"))
+    return pixels.parent_majority(child, parent, at, []).select("child", F.col("parent").cast("long").alias("parent"))
 
 
 # --- aggregates
@@ -425,9 +418,9 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", folder.alias("directory"), tx.base_name(u).alias("name"), tx.truth_from_directory(folder, F.when(F.col("page_id") % 3 == 0, "mapped")).alias("truth"))
 
 
-@query("SELECT p_partkey, (10000 + p_size) || p_brand AS tile, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS clean, 'x' || '0' || substr(p_name, 3) AS spliced FROM (SELECT * FROM part WHERE length(p_name) > 2)")
+@query("SELECT p_partkey, (10000 + p_size) || p_brand AS tile, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS clean, 'x' || '0' || substr(p_name, 3) AS spliced FROM part")
 def naming(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").filter(F.length("p_name") > 2)
+    p = read(spark, d, "part")
     dirty = F.when(F.col("p_partkey") % 5 == 0, F.when(F.col("p_partkey") % 2 == 0, "None").otherwise("NULL")).otherwise(F.col("p_type"))
     fixed = F.concat(F.lit("x"), F.substring("p_name", 2, 1000))
     return p.select("p_partkey", tx.tile_name(F.col("p_brand"), F.col("p_size")).alias("tile"), tx.null_strings(dirty).alias("clean"), tx.splice(fixed, F.lit(2), F.lit(1), F.lit("0")).alias("spliced"))
@@ -440,10 +433,9 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), vec.json_first(text).alias("first"))
 
 
-@query("SELECT event_id, md5(event_type) AS k FROM events WHERE event_id < 0")
-def cache_key_empty(spark: SparkSession, d: str) -> DataFrame:
-    """An empty result keeps its schema."""
-    return read(spark, d, "events").filter("event_id < 0").select("event_id", vec.cache_key(F.col("event_type")).alias("k"))
+@query("""SELECT event_id, substr(md5('{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 12) AS k FROM events""")
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", vec.cache_key(F.col("event_type"), F.col("user_id")).alias("k"))
 
 
 @query(
@@ -568,21 +560,11 @@ def bbox(spark: SparkSession, d: str) -> DataFrame:
     return pixels.bounding_boxes(tiles(spark, d), ["vec_id"], F.lit(8), F.lit(8), 1)
 
 
-@query(
-    f"""WITH {_TILES}, b AS (SELECT vec_id, label, greatest(0, min(x) - 1) AS x0, greatest(0, min(y) - 1) AS y0, least(7, max(x) + 1) AS x1, least(7, max(y) + 1) AS y1 FROM t WHERE label > 0 AND vec_id < 50 GROUP BY vec_id, label)
-SELECT t.vec_id, b.label, y - y0 AS y, x - x0 AS x, CASE WHEN t.label = b.label THEN value ELSE 0.0 END AS value FROM t JOIN b ON t.vec_id = b.vec_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
-)
-def crop_cells(spark: SparkSession, d: str) -> DataFrame:
-    t = tiles(spark, d).filter("vec_id < 50")
-    return pixels.crops(t.drop("label"), t, ["vec_id"], F.lit(8), F.lit(8), 1)
-
-
 @query(
     f"""WITH {_TILES}, b AS (SELECT vec_id, label, greatest(0, min(x) - 1) AS x0, greatest(0, min(y) - 1) AS y0, least(7, max(x) + 1) AS x1, least(7, max(y) + 1) AS y1 FROM t WHERE label > 0 GROUP BY vec_id, label)
 SELECT t.vec_id, b.label, y - y0 AS y, x - x0 AS x, CASE WHEN t.label = b.label THEN value ELSE 0.0 END AS value FROM t JOIN b ON t.vec_id = b.vec_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
 )
-def crop_cells_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same on the whole table."""
+def crop_cells(spark: SparkSession, d: str) -> DataFrame:
     t = tiles(spark, d)
     return pixels.crops(t.drop("label"), t, ["vec_id"], F.lit(8), F.lit(8), 1)
 
@@ -597,9 +579,27 @@ def object_shape(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("vec_id", "label", "area", "cy", "cx", "extent", "major_axis", F.round("minor_axis", 5).alias("minor_axis"), "equivalent_diameter"))
 
 
-@query(f"WITH {_TILES} SELECT vec_id // 10 AS site, y, x, max(value) AS value, '0' AS stack FROM t GROUP BY 1, y, x")
+def stacks(spark: SparkSession, d: str) -> DataFrame:
+    """Ten tiles make one stack; values in whole hundredths."""
+    return tiles(spark, d).select(F.floor(F.col("vec_id") / 10).cast("long").alias("site"), "y", "x", F.rint(F.col("value") * 100).alias("value"))
+
+
+_STACKS = f"{_TILES}, k AS (SELECT vec_id // 10 AS site, y, x, round_even(value * 100, 0) AS value FROM t)"
+
+
+@query(f"WITH {_STACKS} SELECT site, y, x, max(value) AS value, '0' AS stack FROM k GROUP BY site, y, x")
 def zproject_max(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.z_project(tiles(spark, d).withColumn("site", F.floor(F.col("vec_id") / 10).cast("long")), ["site"])
+    return pixels.z_project(stacks(spark, d), ["site"])
+
+
+@query(f"WITH {_STACKS} SELECT site, y, x, min(value) AS value, '0' AS stack FROM k GROUP BY site, y, x")
+def zproject_min(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.z_project(stacks(spark, d), ["site"], "min")
+
+
+@query(f"WITH {_STACKS} SELECT site, y, x, round_even(avg(value), 0) + 0.0 AS value, '0' AS stack FROM k GROUP BY site, y, x")
+def zproject_mean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pixels.z_project(stacks(spark, d), ["site"], "mean"))
 
 
 @query(f"WITH {_TILES} SELECT vec_id, CAST((y // 3) * 2 + x // 3 + 1 AS INT) AS tile, y % 3 AS y, x % 3 AS x, value FROM t WHERE y < 6 AND x < 6")
@@ -628,14 +628,25 @@ def foreground_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_TILES}, l AS (SELECT vec_id, label, min(value) AS lo, max(value) AS hi FROM t WHERE label > 0 GROUP BY ALL),
-g AS (SELECT vec_id, label, y, x, CAST(least(7, floor(coalesce((value - lo) / nullif(hi - lo, 0), 0) * 8)) AS INT) AS i FROM t JOIN l USING (vec_id, label)),
-p AS (SELECT a.vec_id, a.label, k, a.i, b.i AS j FROM g a JOIN (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) s(k, dy, dx) ON true JOIN g b ON a.vec_id = b.vec_id AND a.label = b.label AND b.y = a.y + dy AND b.x = a.x + dx),
-q AS (SELECT * FROM p UNION ALL SELECT vec_id, label, k, j, i FROM p), f AS (SELECT vec_id, label, k, avg((i - j) * (i - j)) AS c, avg(abs(i - j)) AS a, avg(1.0 / (1 + (i - j) * (i - j))) AS h FROM q GROUP BY vec_id, label, k)
-SELECT vec_id, label, round(avg(c), 6) AS contrast, round(avg(a), 6) AS dissimilarity, round(avg(h), 6) AS homogeneity FROM f GROUP BY vec_id, label"""
-)
-def glcm_contrast(spark: SparkSession, d: str) -> DataFrame:
-    g = pixels.glcm_features(tiles(spark, d), ["vec_id"], 1, 8)
-    return rounded(g.select("vec_id", "label", "contrast", "dissimilarity", "homogeneity"))
+g AS (SELECT vec_id, label, y, x, CAST(floor(coalesce((value - lo) / nullif(hi - lo, 0), 0) * 255) + 1 AS INT) AS i FROM t JOIN l USING (vec_id, label)),
+r AS (SELECT a.vec_id, a.label, k, a.i, b.i AS j FROM g a JOIN (VALUES (0, 0, 2), (1, 1, 1), (2, 2, 0), (3, 1, -1)) s(k, dy, dx) ON true JOIN g b ON a.vec_id = b.vec_id AND a.label = b.label AND b.y = a.y + dy AND b.x = a.x + dx),
+c AS (SELECT vec_id, label, k, i, j, count(*) AS n FROM (SELECT * FROM r UNION ALL SELECT vec_id, label, k, j, i FROM r) GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id, label, k) AS p FROM c),
+m AS (SELECT vec_id, label, k, i, sum(p) AS q FROM p GROUP BY ALL), h AS (SELECT vec_id, label, k, -sum(q * log2(q)) AS side FROM m GROUP BY ALL),
+s AS (SELECT vec_id, label, k, i + j AS v, sum(p) AS w FROM p GROUP BY ALL), sf AS (SELECT vec_id, label, k, sum(w * v) AS sumaverage, sum(w * v * v) - pow(sum(w * v), 2) AS sumvariance, -sum(w * log2(w)) AS sumentropy FROM s GROUP BY ALL),
+e AS (SELECT vec_id, label, k, abs(i - j) AS v, sum(p) AS w FROM p GROUP BY ALL), ef AS (SELECT vec_id, label, k, sum(w * v * v) - pow(sum(w * v), 2) AS differencevariance, -sum(w * log2(w)) AS differenceentropy FROM e GROUP BY ALL),
+f AS (SELECT p.vec_id, p.label, p.k, sum(p * (p.i - j) * (p.i - j)) AS contrast, sum(p * abs(p.i - j)) AS dissimilarity, sum(p / (1 + (p.i - j) * (p.i - j))) AS homogeneity, sum(p * p) AS asm, -sum(p * log2(p)) AS entropy, sum(p * p.i) AS mu, sum(p * p.i * p.i) - pow(sum(p * p.i), 2) AS var,
+  sum(p * p.i * j) AS x, -sum(p * log2(a.q * b.q)) AS cross_ FROM p JOIN m a ON a.vec_id = p.vec_id AND a.label = p.label AND a.k = p.k AND a.i = p.i JOIN m b ON b.vec_id = p.vec_id AND b.label = p.label AND b.k = p.k AND b.i = p.j GROUP BY ALL),
+z AS (SELECT *, CASE WHEN var < 1e-15 THEN 1.0 ELSE (x - mu * mu) / var END AS correlation, coalesce((entropy - cross_) / nullif(side, 0), 0) AS infomeasure1, sqrt(greatest(0, 1 - exp(-2 * (2 * side - entropy)))) AS infomeasure2 FROM f JOIN h USING (vec_id, label, k) JOIN sf USING (vec_id, label, k) JOIN ef USING (vec_id, label, k))
+SELECT l.vec_id, l.label, {", ".join(f"round(coalesce(sum({c}), 0) / 4 + {'(4 - count(k)) / 4.0' if c == 'correlation' else '0'} + 1e-9, 4) + 0.0 AS {c}" for c in ("contrast", "dissimilarity", "homogeneity", "correlation", "asm", "entropy", "sumaverage", "sumvariance", "sumentropy", "differencevariance", "differenceentropy", "infomeasure1", "infomeasure2"))},
+round(coalesce(sum(sqrt(asm)), 0) / 4 + 1e-9, 4) AS energy, round(coalesce(sum(greatest(0, var)), 0) / 4 + 1e-9, 4) + 0.0 AS variance FROM l LEFT JOIN z USING (vec_id, label) GROUP BY l.vec_id, l.label"""
+)
+def glcm_texture(spark: SparkSession, d: str) -> DataFrame:
+    """All features with the default distance and levels; a direction without pairs counts as zeros.
+
+    1e-9 keeps halves from being rounded by the order of a sum.
+    """
+    g = pixels.glcm_features(tiles(spark, d), ["vec_id"])
+    return rounded(g.select("vec_id", "label", *((F.col(c) + 1e-9).alias(c) for c in pixels.TEXTURE)), 4)
 
 
 @query()
@@ -651,22 +662,16 @@ def outline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def granularity(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.per_site(tiles(spark, d), ["vec_id"], "granularity", ["label", *(f"granularity_{k}" for k in range(1, 5))], steps=4, sub=1.0, background=1.0, radius=2)
+    return kernels.per_site(tiles(spark, d), ["vec_id"], "granularity", ["label", *(f"granularity_{k}" for k in range(1, 17))])
 
 
 @query(
-    f"""WITH RECURSIVE {_TILES}, o AS (SELECT vec_id, y * 8 + x AS i, y, x FROM t WHERE value >= 0.1 AND vec_id < 60),
+    f"""WITH RECURSIVE {_TILES}, o AS (SELECT vec_id, y * 8 + x AS i, y, x FROM t WHERE value >= 0.1),
 e AS (SELECT a.vec_id, a.i, b.i AS j FROM o a JOIN o b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
 r(vec_id, i, j) AS (SELECT vec_id, i, i FROM o UNION SELECT r.vec_id, r.i, e.j FROM r JOIN e ON r.vec_id = e.vec_id AND r.j = e.i), c AS (SELECT vec_id, i, min(j) AS c FROM r GROUP BY vec_id, i)
-SELECT v.vec_id, CAST(count(c) AS DOUBLE) AS object_area, CAST(count(DISTINCT c) AS DOUBLE) AS object_count, round(coalesce(count(c) / nullif(count(DISTINCT c), 0), 0), 6) AS object_mean_area FROM (SELECT vec_id FROM embeddings WHERE vec_id < 60) v LEFT JOIN c USING (vec_id) GROUP BY v.vec_id"""
+SELECT v.vec_id, CAST(count(c) AS DOUBLE) AS object_area, CAST(count(DISTINCT c) AS DOUBLE) AS object_count, round(coalesce(count(c) / nullif(count(DISTINCT c), 0), 0), 6) AS object_mean_area FROM embeddings v LEFT JOIN c USING (vec_id) GROUP BY v.vec_id"""
 )
 def threshold_objects(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(kernels.per_site(tiles(spark, d).filter("vec_id < 60"), ["vec_id"], "threshold_objects", ["object_area", "object_count", "object_mean_area"], threshold=0.1))
-
-
-@query()
-def threshold_objects_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same on the whole table."""
     return rounded(kernels.per_site(tiles(spark, d), ["vec_id"], "threshold_objects", ["object_area", "object_count", "object_mean_area"], threshold=0.1))
 
 
@@ -692,12 +697,11 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT a.vec_id, max({_DOT}) FILTER (b.label = 1) AS p, max({_DOT}) FILTER (b.label = 2) AS n FROM embeddings a JOIN embeddings b ON b.vec_id < 100 GROUP BY a.vec_id) SELECT vec_id, round(coalesce(p, -1) - 0.5 * coalesce(n, 0), 4) AS score FROM s"""
+    f"""WITH s AS (SELECT a.vec_id, max({_DOT}) FILTER (b.label = 1) AS p, max({_DOT}) FILTER (b.label = 2) AS n FROM embeddings a JOIN embeddings b ON b.label IN (1, 2) GROUP BY a.vec_id) SELECT vec_id, round(coalesce(p, -1) - 0.5 * coalesce(n, 0), 4) AS score FROM s"""
 )
 def suggest_score(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    few = v.filter("vec_id < 100")
-    return rounded(embed.suggest_score(v, few.filter("label = 1"), few.filter("label = 2"), "vec_id", "embedding"), 4)
+    return rounded(embed.suggest_score(v, v.filter("label = 1"), v.filter("label = 2"), "vec_id", "embedding"), 4)
 
 
 @query(
@@ -746,9 +750,15 @@ def vector_math(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r)
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS too_near FROM embeddings")
 def radius_cover(spark: SparkSession, d: str) -> DataFrame:
-    return embed.greedy_cover(vectors(spark, d), "vec_id", "embedding", 1.0)
+    """Every row is within the radius of a kept one, and no two kept ones are."""
+    v = vectors(spark, d)
+    unit = v.select("vec_id", vec.l2_normalize(vec.doubles(F.col("embedding"))).alias("embedding"))
+    kept = unit.join(embed.greedy_cover(unit, "vec_id", "embedding", 1.0), "vec_id")
+    far = embed.distance_to_kept(unit, kept, "vec_id", "embedding").agg(F.count("*").alias("n"), F.count_if(F.col("distance") > 1 + 1e-9).alias("uncovered"))
+    alone = embed.nearest(kept, kept, "vec_id", "embedding", 1, exclude_self=True).agg(F.count_if(F.col("similarity") > 0.5 + 1e-9).alias("too_near"))
+    return far.join(F.broadcast(alone))
 
 
 @query()
@@ -767,16 +777,19 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster.modularity(embed.knn_graph(v, "vec_id", "embedding", 5), v.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))))
 
 
-@query()
+@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS covariance FROM range(16) a(i), range(16) b(j)")
 def whiten_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Whitened axes are uncorrelated and of variance 1."""
     v = vectors(spark, d)
-    return embed.apply_space(v, "embedding", embed.fit_space(v, "embedding", 16)).select("vec_id", "w")
+    w = embed.apply_space(v, "embedding", embed.fit_space(v, "embedding", 16), normalize=False)
+    pairs = w.select(F.posexplode("w").alias("i", "a"), "w").select("i", "a", F.posexplode("w").alias("j", "b"))
+    return rounded(pairs.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("covariance")), 4)
 
 
-@query()
+@query(f"SELECT a.vec_id, round(max({_DOT}), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label <> 3 AND b.label = 3 GROUP BY a.vec_id ORDER BY round(max({_DOT}), 12) DESC, a.vec_id LIMIT 50")
 def similarity_rank(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return embed.similarity_rank(v, v.filter("label = 3 and vec_id < 100"), "vec_id", "embedding", 50)
+    return rounded(embed.similarity_rank(v, v.filter("label = 3"), "vec_id", "embedding", 50), 4)
 
 
 # --- sampling: strata are compared, not the chosen rows
