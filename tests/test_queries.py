@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from wellspark.plans import queries
+from wellspark.plans import more, queries  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,9 +132,6 @@ def now_iso() -> Column:
 
 def decode_blob(c: Column, dtype: str = "float32") -> Column:
     """Bytes of little-endian numbers as an array of floats; null stays null."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else np.frombuffer(bytes(b), dtype).astype(np.float32))
