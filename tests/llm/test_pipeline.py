@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
 
-from tests.llm.helpers import SCHEMA, words
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import SCHEMA, nothing, odd_documents, words
 from tests.llm.test_text_operators import toxic_corpus
 from wellspark.llm import queries
 
@@ -70,3 +73,29 @@ def test_oracles_on_the_smallest_tables(spark, name):
     rows = sorted((tuple(r) for r in want.fetchall()), key=str)
     got = queries.queries()[name](spark, SMALL).select(*columns)
     assert sorted((tuple(r) for r in got.collect()), key=str) == rows
+
+
+def test_run_leaves_one_table_of_its_own(spark, planted):
+    """Tables between stages are deleted once the next one is written; those of the input stay."""
+    from pathlib import Path
+
+    from wellspark.llm.common import shared_folder
+
+    folder, _, _ = planted
+    own = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(own.glob("written-*"))
+    out = corpus_pipeline.run(spark, folder)
+    assert len(set(own.glob("written-*")) - before) == 1 and out.count() > 0 and spark.read.parquet(f"{folder}/documents.parquet").count() > out.count()
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, blanks, repeated rows, clashing names and no rows at all pass every stage."""
+    for name, docs in (("odd", odd_documents(spark)), ("none", nothing(spark))):
+        folder = tmp_path / name
+        docs.withColumn("ids", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, str(folder))
+        assert set(out.columns) == {*docs.columns, "ids"} and dict(out.dtypes)["n_tokens"] == "int"
+        texts = Counter(r["text"] for r in out.collect())
+        assert sum(texts.values()) == 0 if name == "none" else texts[None] == 2 and texts[""] >= 1 and texts["one two"] == 1

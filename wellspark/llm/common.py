@@ -30,7 +30,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A checkpoint also hands on its plan's constraints and size estimate.  The estimate of a join
     is a product, so over the rounds of an iteration its digits double and the driver drowns in
-    them; the rows are therefore wrapped anew, without either.
+    them; the rows are therefore wrapped anew, without either.  That takes the session's internal
+    constructor, here alone.
     """
     shared_folder(df.sparkSession)
     spark = df.sparkSession
@@ -72,6 +73,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and nothing needs any more."""
+    spark = df.sparkSession
+    own = f"/{shared_folder(spark).rstrip('/').rsplit('/', 1)[-1]}/written-"  # the context's own folder has a random name
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if own in f}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
