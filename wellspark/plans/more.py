@@ -744,11 +744,11 @@ def normalize_by_reference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pixels.normalize_by_reference(px, stats, ["vec_id", "channel"], inside=F.col("label") > 0).select("vec_id", "y", "x", "normalized"), 5)
 
 
-@query(f"WITH {_TILES} SELECT vec_id, y, x, round(greatest(0.0, least(0.2, value)) / 0.2 * 2 - 1, 6) + 0.0 AS normalized FROM t")
+@query(f"WITH {_TILES} SELECT vec_id, y, x, round(greatest(0.0, least(0.2, value)) / 0.2 * 2 - 1 + 1e-9, 4) + 0.0 AS normalized FROM t")
 def normalize_fixed(spark: SparkSession, d: str) -> DataFrame:
     px = tiles(spark, d).withColumn("channel", F.lit("1"))
     stats = spark.createDataFrame([("1", 0.0, 0.2, 0.1, 0.1)], "channel string, lo double, hi double, mean double, std double")
-    return rounded(pixels.normalize_fixed(px, stats, ["channel"]).select("vec_id", "y", "x", "normalized"))
+    return rounded(pixels.normalize_fixed(px, stats, ["channel"]).select("vec_id", "y", "x", (F.col("normalized") + 1e-9).alias("normalized")), 4)
 
 
 @query(f"WITH {_TILES}, k AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(value) AS value FROM t GROUP BY ALL) SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(value, 5) AS value FROM k")
