@@ -9,8 +9,7 @@ Defined cases: a null text encodes as an empty one; the strings of added special
 become their ids, as the public library does by default; repeated rows get equal ids; an empty
 table gives no rows; extra columns pass through ``encode_documents`` and ``decode_documents``
 (a column of the name that they add is replaced) and are ignored by the others.  What is
-remembered is bounded in entries and in their length and is emptied when full, which changes no
-result, so beside that memory follows the longest text (some 60 bytes a byte).
+remembered is bounded in entries and in their length, which changes no result, so beside that memory follows the longest text (some 60 bytes a byte).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,11 +31,30 @@ from wellspark.llm import kernel
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Entries of a memory's newer half.
 MEMORY_ENTRIES = 100_000
 #: Longer pre-tokens aren't remembered.
 MEMORY_LENGTH = 64
 
 
+class Memory(dict):
+    """Results by pre-token in two halves: when the newer one is full it replaces the older, so frequent ones stay."""
+
+    def __init__(self, make: Callable, entries: int) -> None:
+        self.make, self.entries, self.older = make, entries, {}
+
+    def __missing__(self, word: str) -> object:
+        made = self.older.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= MEMORY_LENGTH:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[word] = made
+        return made
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of every byte: itself where printable, else the next letter from 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -61,39 +80,26 @@ class ForcedBoundaryBPE:
         for b in ranks:
             a = np.frombuffer(b, np.uint8)
             self.joined[a[:-1], a[1:]] = True
-        self._digests: dict[str, tuple[str, bytes]] = {}
-        self._ids: dict[str, bytes] = {}
+        self._held = self.joined.tobytes()
+        self._digests = Memory(self._digest, 2 * MEMORY_ENTRIES)
+        self._ids = Memory(self._packed, MEMORY_ENTRIES)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut between all byte pairs that no token holds."""
-        a = np.frombuffer(piece, np.uint8)
-        cuts = [0, *(np.flatnonzero(~self.joined[a[:-1], a[1:]]) + 1).tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(cuts, cuts[1:]) if i < j]
+        held = self._held
+        cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not held[a << 8 | b]]
+        return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
 
     def _piece(self, piece: bytes) -> list[int]:
         """The ids of a pre-token: its fragments are encoded on their own."""
         return [i for f in self.fragments(piece) for i in self._core.encode_single_piece(f)]
 
-    def _known(self, memory: dict, words: list[str], make: Callable) -> list:
-        """``make`` of each pre-token, from a memory of bounded size where it is there."""
-        try:
-            return [memory[w] for w in words]
-        except KeyError:
-            pass
-        if len(memory) >= MEMORY_ENTRIES:
-            memory.clear()
-        here: dict = {}
-        for w in words:
-            if w not in memory and w not in here:
-                (memory if len(w) <= MEMORY_LENGTH and len(memory) < MEMORY_ENTRIES else here)[w] = make(w)
-        return [memory[w] if w in memory else here[w] for w in words]
-
     def _digest(self, word: str) -> tuple[str, bytes]:
         ids = self._piece(word.encode())
         return ",".join(map(str, ids)), self.decode_bytes(ids)
 
     def _packed(self, word: str) -> bytes:
-        return np.array(self._piece(word.encode()), "<i4").tobytes()
+        return array("i", self._piece(word.encode())).tobytes()
 
     def _spans(self, text: str) -> Iterator[tuple[str, bool]]:
         if self._special is None or not any(s in text for s in self.special):
@@ -108,13 +114,13 @@ class ForcedBoundaryBPE:
         out: list[bytes] = []
         for part, special in self._spans(text or ""):
             if special:
-                out.append(np.array([self.special[part]], "<i4").tobytes())
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
-                out += self._known(self._ids, self._pretoken.findall(part), self._packed)
+                out += map(self._ids.__getitem__, self._pretoken.findall(part))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
+        return np.frombuffer(self.encode_packed(text), "i4").tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -130,7 +136,7 @@ class ForcedBoundaryBPE:
                 ids.append(str(self.special[part]))
                 out.append(self.token[self.special[part]])
                 continue
-            known = self._known(self._digests, self._pretoken.findall(part), self._digest)
+            known = [self._digests[w] for w in self._pretoken.findall(part)]
             ids += [i for i, _ in known]
             out += [b for _, b in known]
         return ",".join(ids), b"".join(out)
@@ -154,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for part in kernel.slices(batches):
             packed = [bpe.encode_packed(t) for t in part.column("text").to_pylist()]
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "i4")))
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema)
