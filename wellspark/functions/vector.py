@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,7 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, least: float = 1e-8) -> Column:
-    n = F.greatest(norm(v), F.lit(least))
-    return F.transform(doubles(v), lambda x: x / n)
+    return let(F.struct(doubles(v).alias("v"), F.greatest(norm(v), F.lit(least)).alias("n")), lambda r: F.transform(r["v"], lambda x: x / r["n"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -40,11 +40,14 @@ def unit_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it (inside a lambda it would be computed for each element)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    lifted = let(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda r: F.transform(r["v"], lambda x: F.exp(x - r["top"])))
+    return let(lifted, lambda e: let(F.struct(e.alias("e"), total(e).alias("s")), lambda r: F.transform(r["e"], lambda x: x / r["s"])))
 
 
 def sigmoid(x: Column) -> Column:

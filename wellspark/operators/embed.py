@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspark.functions.vector import adaptive_scale, dot, l2_normalize, softmax, total
+from wellspark.functions.vector import adaptive_scale, dot, l2_normalize, let, softmax, total
 
 #: Bytes of reference vectors that one pass holds on an executor.
 BLOCK_BYTES = 64 << 20
@@ -321,10 +321,9 @@ def content_dependence(patches: DataFrame, image: str, patch: str, vector: str,
 def collapse_metrics(df: DataFrame, logits: str, student: str, teacher: str, temperature: float = 0.1) -> DataFrame:
     """One row: the mean deviation inside a row of logits, the mean normalised entropy, and the mean cosine of student and teacher."""
     z = F.col(logits)
-    n, mean = F.size(z), total(z) / F.size(z)
-    spread = F.sqrt(total(F.transform(z, lambda x: (x - mean) * (x - mean))) / (n - 1))
-    p = softmax(F.transform(z, lambda x: x / temperature))
-    entropy = -total(F.transform(p, lambda x: x * F.log(x + 1e-12))) / F.log(n.cast("double"))
+    n = F.size(z)
+    spread = let(F.struct(z.alias("z"), (total(z) / n).alias("m")), lambda r: F.sqrt(total(F.transform(r["z"], lambda x: (x - r["m"]) * (x - r["m"]))) / (n - 1)))
+    entropy = let(softmax(F.transform(z, lambda x: x / temperature)), lambda p: -total(F.transform(p, lambda x: x * F.log(x + 1e-12)))) / F.log(n.cast("double"))
     same = dot(l2_normalize(F.col(student)), l2_normalize(F.col(teacher)))
     return df.agg(F.avg(spread).alias("head_logits_std"), F.avg(entropy).alias("head_entropy"), F.avg(same).alias("teacher_student_sim"))
 
