@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, nothing, odd_documents, odd_rows, words
-from wellspark.llm import graph, jaccard, kernel, suffix_index, warc
+from wellspark.llm import blocks, graph, jaccard, kernel, suffix_index, warc
 
 
 def brute_repeats(texts, length=200):
@@ -50,6 +50,37 @@ def test_suffix_index_against_brute_force(spark, length):
     assert [got[k] for k in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
 
 
+def test_suffix_index_merged_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "GROUP_BLOCKS", 64)  # four groups
+    test_suffix_index_against_brute_force(spark, 200)
+    test_suffix_index_odd_rows(spark)
+
+
+def test_two_steps_give_the_answers_of_one():
+    rng = np.random.default_rng(5)
+    payloads = []
+    for _ in range(12):
+        key, second, mark = suffix_index._unique(rng.integers(0, 60, 30).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64))
+        payloads.append(key.tobytes() + second.tobytes() + mark.tobytes())
+    batch = np.arange(12)
+
+    def entries(answers):
+        return {(b, *e) for b, raw in answers for e in zip(*(x.tolist() for x in blocks.read_columns(raw, "u8", "u8", "u1")))}
+
+    groups = [batch[:5], batch[5:6], batch[6:]]
+    told = dict(suffix_index._answers(np.arange(3), [suffix_index._summary([payloads[k] for k in g]) for g in groups]))
+    two = [x for k, g in enumerate(groups) for x in suffix_index._told(g, [payloads[i] for i in g], told[k])]
+    assert entries(two) == entries(suffix_index._answers(batch, payloads))
+
+    lists = []
+    for _ in range(12):
+        value = np.unique(rng.integers(0, 1 << 24, 40) // 500_000 * 500_000)
+        lists.append(np.int64(7).tobytes() + jaccard.pack_ascending(value, rng.integers(1, 9, len(value))))
+    told = dict(jaccard.count_range(np.arange(3), [jaccard._summary([lists[k] for k in g]) for g in groups]))
+    two = [x for k, g in enumerate(groups) for x in jaccard._told(g, [lists[i] for i in g], told[k])]
+    assert sorted(two) == sorted(jaccard.count_range(batch, lists))
+
+
 def test_suffix_index_odd_rows(spark):
     rows = odd_rows()
     want = Counter((r[0], *b) for r, b in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows])))
@@ -137,6 +168,12 @@ def test_jaccard_against_brute_force(spark, seed):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows)
 
 
+def test_jaccard_counted_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "GROUP_BLOCKS", 64)
+    test_jaccard_against_brute_force(spark, 2)
+    test_jaccard_odd_rows(spark)
+
+
 def test_jaccard_in_many_small_chunks(spark, monkeypatch):
     """With chunks of a few sets the links between chunks come from the second round."""
     monkeypatch.setattr(jaccard, "CHUNK_BYTES", 2500)

@@ -4,13 +4,15 @@ Each task packs its rows into blocks of about ``BLOCK_BYTES`` of text, and a blo
 compressed Arrow table in a checkpoint, which also fixes its number.  Later passes join small
 per-block results to it without moving it again.  What blocks send to each other is
 packed: one row per block and hash range, already unique inside the block, so a passage held
-by a third of all rows counts once per block and no group is hot.
+by a third of all rows counts once per block.  From ``GROUP_BLOCKS`` blocks on a range is merged in
+two steps, groups of blocks first, so that one which all blocks hold is gathered nowhere whole.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from wellspark.llm.common import checkpointed_by, text_bytes
 BLOCK_BYTES = 1 << 20
 #: A hash range stands for about this much text.
 RANGE_BYTES = 16 << 20
+#: Blocks whose payloads of one range meet in one task; an entry that all of them hold takes 1 MB there.
+GROUP_BLOCKS = 1 << 16
 #: A partition of the checkpoint holds blocks of about this much text.
 PARTITION_BYTES = 32 << 20
 
@@ -84,15 +88,55 @@ def by_range(h: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def exchange_ranges(sent: DataFrame, merge: Callable[[np.ndarray, list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
-    """``sent`` (part, block, payload) by range through ``merge(blocks, payloads)``: (block, answers array<binary>)."""
+class Merge(NamedTuple):
+    """How the payloads of a range are merged.
+
+    ``answers(blocks, payloads)`` gives (block, payload) for each block that has something to hear.
+    ``summary(payloads)`` is one payload that stands for all of them, and ``told(blocks, payloads,
+    answer)`` hands the answer to a summary on to its blocks.
+    """
+
+    answers: Callable[[np.ndarray, list[bytes]], list[tuple[int, bytes]]]
+    summary: Callable[[list[bytes]], bytes]
+    told: Callable[[np.ndarray, list[bytes], bytes], list[tuple[int, bytes]]]
+
+
+def exchange_ranges(sent: DataFrame, merge: Merge, n_ranges: int) -> DataFrame:
+    """``sent`` (part, block, payload) by range through ``merge``: (block, answers array<binary>).
+
+    With more than ``GROUP_BLOCKS`` blocks, groups of blocks are summed up first, the summaries of a
+    range are merged, and their answers go back through the groups; the answers are the same.
+    """
     schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+    n_groups = -(-n_ranges * RANGE_BYTES // (GROUP_BLOCKS * BLOCK_BYTES))
 
-    def run(table: pa.Table) -> pa.Table:
-        found = merge(np.asarray(table.column("block")), table.column("payload").to_pylist())
+    def record(found: list[tuple[int, bytes]]) -> pa.Table:
         return pa.table([[b for b, _ in found], [p for _, p in found]], schema=schema)
 
-    answers = sent.groupBy("part").applyInArrow(run, "block long, payload binary")
+    def columns(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+        return np.asarray(table.column("block")), table.column("payload").to_pylist()
+
+    def run(table: pa.Table) -> pa.Table:
+        return record(merge.answers(*columns(table)))
+
+    if n_groups < 2:
+        answers = sent.groupBy("part").applyInArrow(run, "block long, payload binary")
+    else:
+        # a cell is a range and a group of blocks; the groups take the place of blocks among the summaries
+        cell = F.col("part") * n_groups + F.pmod(F.xxhash64("block"), F.lit(n_groups))
+        dealt = checkpointed_by(sent.select(cell.alias("cell"), "block", "payload"), "cell")
+
+        def sum_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return record([(key[0].as_py(), merge.summary(columns(table)[1]))])
+
+        def hand_on(own: pa.Table, answer: pa.Table) -> pa.Table:
+            raw = answer.column("payload").to_pylist()
+            return record(merge.told(*columns(own), raw[0]) if raw and own.num_rows else [])
+
+        summed = dealt.groupBy("cell").applyInArrow(sum_up, "block long, payload binary")
+        by_part = summed.withColumn("part", F.floor(F.col("block") / n_groups)).groupBy("part")
+        answered = by_part.applyInArrow(run, "block long, payload binary").withColumnRenamed("block", "cell")
+        answers = dealt.groupBy("cell").cogroup(answered.groupBy("cell")).applyInArrow(hand_on, "block long, payload binary")
     return answers.groupBy("block").agg(F.collect_list("payload").alias("answers"))
 
 

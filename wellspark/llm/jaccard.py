@@ -97,6 +97,17 @@ def unpack_ascending(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.int64), marks
 
 
+def _totals(lists: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """An eighth of the range at a time: its first value, the counts of its values over all lists, and where it ends in each."""
+    size = 1 << 21
+    for low in range(0, 1 << 24, size):
+        total = np.zeros(size, np.uint32)
+        cuts = [np.searchsorted(value, (low, low + size)) for value, _ in lists]
+        for (i, j), (value, n) in zip(cuts, lists):
+            total[value[i:j] - low] += n[i:j]
+        yield low, total, cuts
+
+
 def count_range(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
     """How often each value occurs over all batches; each batch hears of its values that occur twice or more.
 
@@ -104,12 +115,7 @@ def count_range(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, byt
     """
     lists = [unpack_ascending(p[8:]) for p in payloads]
     counts = [np.empty(len(value), np.uint32) for value, _ in lists]
-    size = 1 << 21
-    for low in range(0, 1 << 24, size):  # an eighth of the range at a time
-        total = np.zeros(size, np.uint32)
-        cuts = [np.searchsorted(value, (low, low + size)) for value, _ in lists]
-        for (i, j), (value, n) in zip(cuts, lists):
-            total[value[i:j] - low] += n[i:j]
+    for low, total, cuts in _totals(lists):
         for (i, j), (value, _), own in zip(cuts, lists, counts):
             own[i:j] = total[value[i:j] - low]
     out = []
@@ -120,6 +126,32 @@ def count_range(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, byt
     return out
 
 
+def _summary(payloads: list[bytes]) -> bytes:
+    """The values of several batches with their counts, of which more than 255 count as 255."""
+    values, counts = [], []
+    for low, total, _ in _totals([unpack_ascending(p[8:]) for p in payloads]):
+        at = np.flatnonzero(total)
+        values.append(at + low)
+        counts.append(np.minimum(total[at], 255))
+    return payloads[0][:8] + pack_ascending(np.concatenate(values), np.concatenate(counts))
+
+
+def _told(batch: np.ndarray, payloads: list[bytes], answer: bytes) -> list[tuple[int, bytes]]:
+    """The bit lengths of a summary's counts for the batches that hold the values."""
+    known, mark = unpack_ascending(answer[8:])
+    out = []
+    for b, raw in zip(batch, payloads):
+        value, _ = unpack_ascending(raw[8:])
+        slot = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        hit = known[slot] == value
+        if hit.any():
+            out.append((int(b), raw[:8] + pack_ascending(value[hit], mark[slot[hit]])))
+    return out
+
+
+COUNTS = blocks.Merge(count_range, _summary, _told)
+
+
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -340,7 +372,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
                 f = found[k : k + 256]
                 yield emitted(len(f), kind=[1] * len(f), size=[x[1] for x in f], key=[x[0] for x in f], payload=[x[2] for x in f], prefix=[x[3] for x in f])
 
-    answers = blocks.exchange_ranges(packed.mapInArrow(send, "part long, block long, payload binary"), count_range)
+    answers = blocks.exchange_ranges(packed.mapInArrow(send, "part long, block long, payload binary"), COUNTS, n_ranges)
     return packed, checkpointed(packed.join(answers, "block", "left").mapInArrow(sets, _ROWS))
 
 

@@ -177,16 +177,48 @@ def _send(block: int, key: np.ndarray, second: np.ndarray, n_ranges: int) -> lis
     return [(int(p), block, raw) for p, raw in blocks.split_by_block(part, key, second, mark)]
 
 
-def _merge_range(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
+def _family(batch: np.ndarray, payloads: list[bytes]) -> LevelFamily:
     family = LevelFamily()
     for k in np.argsort(batch, kind="stable"):
         key, second, mark = blocks.read_columns(payloads[k], "u8", "u8", "u1")
         family.add(key, second, int(batch[k]), mark)
-    key, second, batch, mark = family.finish()
+    return family
+
+
+def _answers(batch: np.ndarray, payloads: list[bytes]) -> list[tuple[int, bytes]]:
+    key, second, batch, mark = _family(batch, payloads).finish()
     some = (mark & (REPEATED | MIXED)) > 0
     return blocks.split_by_block(batch[some], key[some], second[some], mark[some])
 
 
+def _summary(payloads: list[bytes]) -> bytes:
+    """The distinct entries of several batches, those that repeat among them marked."""
+    key, second, _, mark = _family(np.arange(len(payloads)), payloads).finish()
+    one = (mark & FIRST) > 0
+    return b"".join(x[one].tobytes() for x in (key, second, mark & np.uint8(REPEATED)))
+
+
+def _told(batch: np.ndarray, payloads: list[bytes], answer: bytes) -> list[tuple[int, bytes]]:
+    """The marks of a summary's entries for the batches that hold them; FIRST stays with one batch."""
+    key, second, batch, mark = _family(batch, payloads).finish()
+    known, known_second, known_mark = blocks.read_columns(answer, "u8", "u8", "u1")
+    order = np.lexsort((known_second, known))
+    entry = np.append(True, (key[1:] != key[:-1]) | (second[1:] != second[:-1])).cumsum()[: len(key)] - 1
+    first = np.flatnonzero(mark & FIRST)
+    # both sides are in the order of (key, second key), and the answer's entries are among the summary's
+    both = np.lexsort((np.append(np.zeros(len(first), np.int8), np.ones(len(known), np.int8)), np.append(second[first], known_second[order]), np.append(key[first], known[order])))
+    hit = np.flatnonzero(both >= len(first))
+    told = np.zeros(len(first), np.uint8)
+    told[both[hit - 1]] = known_mark[order][both[hit] - len(first)]
+    all_ = told[entry]
+    new = (all_ & np.uint8(REPEATED | MIXED)) | (all_ & mark & np.uint8(FIRST))
+    some = (new & (REPEATED | MIXED)) > 0
+    return blocks.split_by_block(batch[some], key[some], second[some], new[some])
+
+
+MERGE = blocks.Merge(_answers, _summary, _told)
+
+
 def _pair(key: np.ndarray, second: np.ndarray) -> np.ndarray:
     return kernel.mix(key + second * _MIX)
 
@@ -289,7 +321,7 @@ def _apply(docs: DataFrame, length: int, schema: str | object, emit: Callable[[p
 
     told = packed
     for send, name in ((send_runs, "run_answers"), (send_bins, "bin_answers"), (send_windows, "window_answers")):
-        answers = blocks.exchange_ranges(told.mapInArrow(send, "part long, block long, payload binary"), _merge_range)
+        answers = blocks.exchange_ranges(told.mapInArrow(send, "part long, block long, payload binary"), MERGE, n_ranges)
         told = told.join(checkpointed(answers).withColumnRenamed("answers", name), "block", "left")
     return told.mapInArrow(finish, schema)
 
