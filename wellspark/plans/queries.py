@@ -87,16 +87,14 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_OBJECTS}, a AS (SELECT CASE WHEN site % 1009 <> 0 THEN site END AS directory, label, site, area FROM o), b AS (SELECT CASE WHEN uid % 1009 <> 0 THEN uid END AS directory, label, uid AS site_b, pred_prob FROM p)
+    f"""WITH {_OBJECTS}, a AS (SELECT directory, label, site, area FROM o), b AS (SELECT directory, label, uid AS site_b, pred_prob FROM p)
 SELECT coalesce(a.directory, b.directory) AS directory, coalesce(a.label, b.label) AS label, a.site, area, b.site_b AS "infer/site", round(pred_prob, 6) AS pred_prob
 FROM a FULL JOIN b ON a.directory IS NOT DISTINCT FROM b.directory AND a.label IS NOT DISTINCT FROM b.label"""
 )
 def fuse_outer(spark: SparkSession, d: str) -> DataFrame:
-    """Null folders (here every 1009th) match each other and fan out; a clashing column is renamed."""
-    folder = lambda c: F.when(F.col(c) % 1009 != 0, F.col(c))
-    a = objects(spark, d).drop("intensity").withColumn("directory", folder("site"))
-    b = predictions(spark, d).withColumn("directory", folder("uid")).withColumnRenamed("uid", "site")
-    return rounded(fuse.fuse_pair(a, fuse.Source(b, "inference", "infer")))
+    """Null folders match each other and fan out (the square of their rows); a clashing column is renamed."""
+    b = predictions(spark, d).withColumnRenamed("uid", "site")
+    return rounded(fuse.fuse_pair(objects(spark, d).drop("intensity"), fuse.Source(b, "inference", "infer")))
 
 
 @query(
