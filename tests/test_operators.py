@@ -464,19 +464,73 @@ def test_clusters_medoids_and_votes(spark):
     assert rows(cluster.propagate(graph, 5).groupBy("cluster").count())
 
 
+def planted_graph(n, pairs, seed=7):
+    """Edges mostly inside five groups, with a loop, and node ids far apart."""
+    rng = np.random.default_rng(seed)
+    group = rng.integers(0, 5, n)
+    return sorted({(a * 1_000_003, b * 1_000_003) for a, b in rng.integers(0, n, (pairs, 2)).tolist() if group[a] == group[b] or rng.random() < 0.1} | {(-5, -5)})
+
+
 def test_large_graphs_get_the_same_communities(spark, monkeypatch):
-    """Joins only, joins and then one task, and one task agree; the resolution holds on every way."""
-    rng = np.random.default_rng(7)
-    group = rng.integers(0, 6, 60)
-    pairs = {(a * 1_000_003, b * 1_000_003) for a, b in rng.integers(0, 60, (900, 2)).tolist() if group[a] == group[b] or rng.random() < 0.1} | {(-5, -5)}
-    graph = spark.createDataFrame(sorted(pairs), "src long, dst long")
-    found = {}
-    for r, most in ((0.3, 60), (1.5, 0)):
-        found[r] = rows(cluster.cluster_edges(graph, r, 3), "node", "cluster")
-        with monkeypatch.context() as m:
-            m.setattr(cluster, "MAX_EDGES", most)
-            assert rows(cluster.cluster_edges(graph, r, 3), "node", "cluster") == found[r]
-    assert len({c for _, c in found[0.3]}) < len({c for _, c in found[1.5]})
+    """Joins and one task agree level by level, and the whole way when the first level is by joins."""
+    pairs = planted_graph(40, 300)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    with monkeypatch.context() as m:
+        m.setattr(cluster, "SHARES", cluster.SHARES[1:3])
+        m.setattr(cluster, "REFINING", 2)
+        a, f = cluster.Arrays.of_edges(*np.array(pairs).T), cluster.Frames.of_edges(edges)
+        pa_, pf = a.own(), f.own()
+        for level in range(2):
+            pa_, pf = cluster.local_moves(a, pa_, 1.2, 3, level), cluster.local_moves(f, pf, 1.2, 3, level)
+            assert dict(zip(a.ids.tolist(), a.ids[pa_].tolist())) == {r["node"]: r["part"] for r in pf.collect()}
+            ra, rf = cluster.refinement(a, pa_, 1.2, 3, level), cluster.refinement(f, pf, 1.2, 3, level)
+            assert dict(zip(a.ids.tolist(), a.ids[ra].tolist())) == {r["node"]: r["ref"] for r in rf.collect()}
+            assert len(set(ra.tolist())) < len(ra)
+            (a, pa_), (f, pf) = a.merged(ra, pa_), f.merged(rf)
+            assert dict(zip(a.ids.tolist(), zip(a.degree.tolist(), a.ids[pa_].tolist()))) == {r["node"]: (r["degree"], r["part"]) for r in pf.collect()}
+            links = {(a.ids[x], a.ids[y], w) for x, y, w in zip(a.src, a.dst, a.w.tolist())}
+            assert links == {tuple(r) for r in f.links.select("src", "dst", "w").collect()}
+    want = rows(cluster.cluster_edges(edges, 1.2, 3), "node", "cluster")
+    monkeypatch.setattr(cluster, "TURNS", 1)  # both ways on the driver
+    one = cluster.Arrays.of_edges(*np.array(pairs).T)
+    first = dict(zip(one.ids.tolist(), cluster.leiden(one, 1.2, 3).tolist()))
+    monkeypatch.setattr(cluster, "MAX_EDGES", len(one.src) // 2 - 1)
+    got = {r["node"]: r["cluster"] for r in cluster.cluster_edges(edges, 1.2, 3).collect()}
+    assert {frozenset(n for n in got if got[n] == c) for c in got.values()} == {frozenset(n for n in first if first[n] == c) for c in first.values()}
+    assert len(want) == len(got)
+
+
+@pytest.mark.parametrize("resolution", [0.5, 1.0, 3.0])
+def test_refined_communities_hang_together(resolution):
+    graph = cluster.Arrays.of_edges(*np.array(planted_graph(300, 1500, 11)).T)
+    part = cluster.local_moves(graph, graph.own(), resolution, 0, 0)
+    ref = cluster.refinement(graph, part, resolution, 0, 0)
+    assert all(len(set(part[ref == c].tolist())) == 1 for c in set(ref.tolist()))
+
+    def pieces(of):
+        """Connected pieces inside the communities, by plain search."""
+        near = {}
+        for x, y in zip(graph.src.tolist(), graph.dst.tolist()):
+            if of[x] == of[y]:
+                near.setdefault(x, []).append(y)
+        left, n = set(range(len(of))), 0
+        while left:
+            todo, n = [left.pop()], n + 1
+            while todo:
+                new = {y for y in near.get(todo.pop(), ()) if y in left}
+                left -= new
+                todo += new
+        return n
+
+    assert pieces(ref) == len(set(ref.tolist()))
+    found = cluster.leiden(graph, resolution)
+    assert pieces(found) == len(set(found.tolist()))
+
+    def value(p):
+        cross, squares = graph.quality(np.unique(p, return_inverse=True)[1])
+        return graph.weight * (graph.weight - cross) - resolution * squares
+
+    assert value(found) >= value(part)
 
 
 def test_whitened_space_and_cover(spark):
