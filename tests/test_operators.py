@@ -449,6 +449,75 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("k,own", [(3, True), (1, False), (40, True)])
+def test_best_products_against_sorting_all(k, own):
+    """Copies, ties, nulls of length, values that single precision can't hold, and rows that aren't numbers."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(5000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[2000:2600], v[4500:4510] = v[0], 0
+    v[70:90] += 1e-7 * rng.normal(size=(20, 8))
+    v[60:70] = v[70:80]
+    ids = rng.permutation(5000) * 3
+    for odd in ({}, {9: 1e20, 11: np.inf, 12: np.nan}):
+        for i, x in odd.items():
+            v[i] = x
+        best = embed.Best(*embed.without_copies(ids, v, k + 1))
+        assert len(best.ids) <= 5000 - 599 + k
+        for a in (0, 2000, 4490):
+            x, q = v[a : a + 100], ids[a : a + 100]
+            with np.errstate(all="ignore"):
+                s = np.round(np.einsum("ij,kj->ik", x, v), 12)
+            if own:
+                s[q[:, None] == ids] = -np.inf
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+            good = np.isfinite(np.take_along_axis(s, order, 1))
+            with np.errstate(all="ignore"):
+                row, found, product = best.top(q if own else None, x, k)
+            use = np.isfinite(product)
+            assert row[use].tolist() == np.nonzero(good)[0].tolist()
+            if not odd:
+                assert found[use].tolist() == ids[order][good].tolist()
+            assert np.allclose(product[use], np.take_along_axis(s, order, 1)[good], rtol=1e-12, atol=2e-12)
+
+
+def test_cover_walk_is_the_plain_one_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(6000, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[100:400] = v[5]
+    radius, held = 0.35 * rng.uniform(0.5, 2, 6000), v[5000:]
+    apart = lambda dots: np.sqrt(np.maximum(0, 2 - 2 * np.round(dots, 12)))
+    want: list[int] = []
+    for a in range(0, 2000, 500):
+        part, near = v[a : a + 500], (v[a : a + 500] @ np.concatenate([held, v[want]]).T).max(1)
+        new: list[int] = []
+        for i in np.argsort(np.round(near, 12), kind="stable"):
+            if apart(near[i]) > radius[a + i] and (not new or (apart(part[new] @ part[i]) > radius[a + i]).all()):
+                new.append(int(i))
+        want += [a + i for i in sorted(new)]
+    assert embed.cover_rows(v[:2000], radius[:2000], held, 500) == want
+    tracemalloc.start()
+    embed.cover_rows(v[:2000], radius[:2000], np.repeat(held, 12, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all products at once take 192 MB
+
+
+def test_adaptive_cover_finds_the_neighbours_once(spark, tmp_path, monkeypatch):
+    from wellspark.plans import more
+
+    df, _ = blobs(spark)
+    df.withColumn("label", F.col("label").cast("int")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = []
+    monkeypatch.setattr(embed, "density_scale", lambda *a, f=embed.density_scale: made.append(f(*a)) or made[-1])
+    assert [tuple(r) for r in more.adaptive_cover(spark, str(tmp_path)).collect()] == [(36, 0)]
+    assert len(made) == 1 and made[0].is_cached
+    spark.catalog.clearCache()
+
+
 def test_clusters_medoids_and_votes(spark):
     df, v = blobs(spark)
     graph = embed.knn_graph(df, "vec_id", "embedding", 6)

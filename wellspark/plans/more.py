@@ -559,9 +559,10 @@ def adaptive_cover(spark: SparkSession, d: str) -> DataFrame:
     """With a radius of its own every row is within it of a kept one."""
     v = vectors(spark, d)
     unit = v.select("vec_id", vec.l2_normalize(vec.doubles(F.col("embedding"))).alias("embedding"))
-    own = unit.join(embed.density_scale(unit, "vec_id", "embedding", 1.0), "vec_id")
+    scale = embed.density_scale(unit, "vec_id", "embedding", 1.0).cache()
+    own = unit.join(scale, "vec_id")
     kept = unit.join(embed.greedy_cover(own, "vec_id", "embedding", 1.0, scale="scale"), "vec_id")
-    far = embed.distance_to_kept(unit, kept, "vec_id", "embedding").join(own.select("vec_id", "scale"), "vec_id")
+    far = embed.distance_to_kept(unit, kept, "vec_id", "embedding").join(scale, "vec_id")
     return far.agg(F.count("*").alias("n"), F.count_if(F.col("distance") > F.col("scale") + 1e-9).alias("uncovered"))
 
 
