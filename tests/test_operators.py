@@ -518,6 +518,31 @@ def test_adaptive_cover_finds_the_neighbours_once(spark, tmp_path, monkeypatch):
     spark.catalog.clearCache()
 
 
+def test_each_resolution_is_clustered_once(spark, monkeypatch):
+    df, _ = blobs(spark)
+    edges = embed.knn_graph(df, "vec_id", "embedding", 6)
+    tried = []
+    monkeypatch.setattr(cluster, "_clusters", lambda e, n, r, s, f=cluster._clusters: tried.append(r) or f(e, n, r, s))
+    made = cluster.Clusterings(edges)
+    chosen, r = cluster.cluster_groups(made, (0.5, 1.0, 2.0))
+    wanted, high = cluster.resolution_for(made, 5)
+    assert {0.5, 1.0, 2.0, high} <= set(tried) and len(tried) == len(set(tried))
+    for got, at in ((chosen, r), (wanted, high)):
+        assert rows(got) == rows(cluster.cluster_edges(edges, at))
+    assert rows(cluster.resolution_for(edges, 5)[0]) == rows(wanted) and rows(cluster.cluster_groups(edges, (0.5, 1.0, 2.0))[0]) == rows(chosen)
+
+
+@pytest.mark.parametrize("below", [50, 2**62])
+def test_sums_and_highest_by_node(below):
+    rng = np.random.default_rng(2)
+    key, w = rng.integers(0, 50, 400), rng.integers(1, 9, 400)
+    got, total = cluster._summed(key, w, below)
+    assert got.tolist() == sorted(set(key.tolist())) and total.tolist() == [float(w[key == k].sum()) for k in got]
+    v, gain = np.sort(rng.integers(0, 30, 200)), rng.integers(0, 4, 200).astype(float)
+    assert cluster._highest(v, gain).tolist() == [int(np.flatnonzero((v == k) & (gain == gain[v == k].max()))[0]) for k in sorted(set(v.tolist()))]
+    assert not len(cluster._highest(v[:0], gain[:0])) and not len(cluster._summed(key[:0], w[:0], below)[0])
+
+
 def test_clusters_medoids_and_votes(spark):
     df, v = blobs(spark)
     graph = embed.knn_graph(df, "vec_id", "embedding", 6)

@@ -649,13 +649,14 @@ def cluster_choice(spark: SparkSession, d: str) -> DataFrame:
     """Communities, a ladder of resolutions and a target number, checked by what defines them."""
     v = vectors(spark, d)
     edges = embed.knn_graph(v, "vec_id", "embedding", 10).cache()
-    found = cluster.cluster_edges(edges).cache()
+    made = cluster.Clusterings(edges)
+    found = made.at(1.0)
     score = lambda c: cluster.modularity(edges, c).first()[0]
     known = score(v.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster")))
     sizes = [r["n"] for r in found.groupBy("cluster").agg(F.count("*").alias("n")).orderBy("cluster").collect()]
-    chosen, _ = cluster.cluster_groups(edges, (0.5, 1.0, 2.0))
-    best = max(score(cluster.cluster_edges(edges, r)) for r in (0.5, 1.0, 2.0))
-    wanted, _ = cluster.resolution_for(edges, 6)
+    chosen, _ = cluster.cluster_groups(made, (0.5, 1.0, 2.0))
+    best = max(made.modularity(r) for r in (0.5, 1.0, 2.0))
+    wanted, _ = cluster.resolution_for(made, 6)
     n = wanted.agg(F.count_distinct("cluster")).first()[0]
     return facts(spark, [("better than labels", score(found) >= known - 1e-9), ("about the target", 3 <= n <= 12), ("within tolerance", score(chosen) >= 0.95 * best - 1e-9), ("by size", sizes == sorted(sizes, reverse=True))])
 
