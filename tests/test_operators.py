@@ -19,6 +19,19 @@ def test_null_keys_match_and_repeats_fan_out(spark):
     assert rows(out) == sorted([("d", 1, 10.0, 0.5), ("d", 1, 10.0, 0.6), (None, 1, 20.0, 0.7), ("d", 2, 30.0, None), ("e", 1, None, 0.8)], key=str)
 
 
+def test_pairs_of_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fuse, "CELL_ROWS", 8)
+    a = spark.createDataFrame([(None if i % 2 else f"d{i % 40}", i % 5 % 2, i, float(i % 7)) for i in range(400)], "directory string, label int, site int, area double")
+    b = spark.createDataFrame([(None if i % 3 else f"d{i % 60}", i % 4 % 3, i % 90, 0.5) for i in range(300)], "directory string, label int, site int, p double").withColumn("label", F.when(F.col("label") < 2, F.col("label")))
+    for left, right in ((a, b), (b, a), (a, b.filter("p > 1")), (a.filter("site % 2 = 0"), b)):
+        source = fuse.Source(right, "t", "s")
+        plain, spread = fuse.fuse_pair(left, source), fuse.fuse_pair(left, source, spread=True)
+        assert spread.dtypes == plain.dtypes and rows(spread) == rows(plain)
+    got = fuse.fuse_pair(a, fuse.Source(b, "t", "s"), spread=True).filter("directory is null and label = 0").groupBy(F.spark_partition_id()).count().collect()
+    whole = sum(r[1] for r in got)
+    assert len(got) > 8 and max(r[1] for r in got) < whole / 4
+
+
 def test_without_a_label_sources_are_stacked(spark):
     a = spark.createDataFrame([("A1", 1.0)], "well string, x double")
     b = spark.createDataFrame([("A1", 2.0)], "well string, y double")
