@@ -32,6 +32,21 @@ def test_pairs_of_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert len(got) > 8 and max(r[1] for r in got) < whole / 4
 
 
+@pytest.mark.parametrize("wide_keys", [0, 1, 32])
+def test_rows_of_very_hot_keys_are_read_again_instead_of_copied(spark, monkeypatch, wide_keys):
+    """A row of a very hot key is dealt once; beyond the wide keys it is copied a bounded number of times."""
+    monkeypatch.setattr(fuse, "CELL_ROWS", 2)
+    monkeypatch.setattr(fuse, "WIDE_KEYS", wide_keys)
+    a = spark.createDataFrame([(None if i % 5 else "d", i % 2, i, 1.0) for i in range(200)], "directory string, label int, site int, area double")
+    b = spark.createDataFrame([(None if i % 4 else "e", i % 2, i, 0.5) for i in range(160)], "directory string, label int, uid int, p double")
+    source = fuse.Source(b, "t", "s")
+    plain, spread = fuse.fuse_pair(a, source), fuse.fuse_pair(a, source, spread=True)
+    assert rows(spread) == rows(plain)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert ("CartesianProduct" in plan) == (wide_keys > 0)
+    assert ("Generate explode" in plan) == (wide_keys < 2)
+
+
 def test_without_a_label_sources_are_stacked(spark):
     a = spark.createDataFrame([("A1", 1.0)], "well string, x double")
     b = spark.createDataFrame([("A1", 2.0)], "well string, y double")
