@@ -622,6 +622,27 @@ def test_large_graphs_get_the_same_communities(spark, monkeypatch):
     assert len(want) == len(got)
 
 
+def test_links_of_a_graph_take_twelve_bytes():
+    """Places and weights in four bytes each, products of places still whole: the nodes' square doesn't fit four bytes."""
+    n = 70_000
+    graph = cluster.Arrays.of_edges(np.arange(n) * 3, (np.arange(n) + 1) % n * 3)
+    assert graph.src.itemsize + graph.dst.itemsize + graph.w.itemsize == 12 and len(graph.src) == 2 * n and set(graph.degree.tolist()) == {2}
+    part = graph.moved(graph.own(), 0.1, 5, cluster.PRIME)
+    assert all((a - b) % n in (0, 1, n - 1) for a, b in zip(part.tolist(), range(n))) and (part != graph.own()).any()
+    ref = graph.refined(np.zeros(n, np.int64), 0.1, [1, 2], cluster.PRIME // 2)
+    merged, _ = graph.merged(ref, np.zeros(n, np.int64))
+    assert merged.weight == graph.weight and len(merged.ids) < n
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 1000, 1003])
+def test_places_of_flags_that_are_not_set(n):
+    rng = np.random.default_rng(n)
+    for share in (0.0, 0.5, 0.99, 1.0):
+        flags = rng.random(n + 8) < share
+        want = np.flatnonzero(~flags[:n]).tolist()
+        assert embed._not_set(flags, n).tolist() == want
+
+
 @pytest.mark.parametrize("resolution", [0.5, 1.0, 3.0])
 def test_refined_communities_hang_together(resolution):
     graph = cluster.Arrays.of_edges(*np.array(planted_graph(300, 1500, 11)).T)
